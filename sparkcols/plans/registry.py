@@ -12,23 +12,29 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its own name together with its SQL twin."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under ``name``, by default its own, together with its SQL twin."""
 
     def add(function: Query) -> Query:
-        name = function.__name__
-        if name in _QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = function
+        key = name or function.__name__
+        if key in _QUERIES:
+            raise ValueError(f"query {key} is registered twice")
+        _QUERIES[key] = function
         if sql is not None:
-            _SQL[name] = " ".join(sql.split())
+            _SQL[key] = " ".join(sql.split())
         return function
 
     return add
 
 
 def _load() -> None:
-    from sparkcols.plans import column_queries  # noqa: F401
+    from sparkcols.plans import (  # noqa: F401
+        column_queries,
+        id_queries,
+        measurement_queries,
+        string_queries,
+        table_queries,
+    )
 
 
 def queries() -> dict[str, Query]:

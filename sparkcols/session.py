@@ -49,6 +49,12 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def new_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """An unused table name and a fresh path for it."""
+    path = new_table_path(spark, name)
+    return path.rsplit("/", 1)[-1].replace("-", "_"), path
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
