@@ -17,48 +17,55 @@ def _col(c: ColumnOrName) -> Column:
 BYTE_UNITS = ["B", "KB", "MB", "GB", "TB", "PB"]
 TIME_UNITS = [(3600.0, "hour"), (60.0, "min"), (1.0, "sec"), (1e-3, "ms"), (1e-6, "us")]
 
+_FRACTION = 2**52
+
 
 def fixed_point(value: ColumnOrName, digits: int) -> Column:
-    """Text of a double with ``digits`` decimals, rounded on its exact binary value.
+    """Text of a double with up to three decimals, rounded on its exact binary value.
 
     ``format_string('%.2f')`` rounds the shortest decimal text of the double
-    instead, so 2.055 (stored just below) would become 2.06. Doubles in
-    [1, 1024) are whole multiples of 2^-52, so the work is done on integers;
-    values outside that range take the built-in format.
+    instead, so 2.055 (stored just below) would become 2.06. The fraction of a
+    double from 1 upwards is a whole multiple of 2^-52, so it is scaled to a
+    long and rounded half to even in integer arithmetic.
     """
-    x = _col(value)
-    scaled = (x * float(2**52)).cast("long").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(4,0)")
-    one = F.lit(2**52).cast("decimal(20,0)")
-    low = F.floor(scaled / one).cast("long")
-    # decimal division may round up to the next integer: step back when it did
-    low = F.when(low.cast("decimal(20,0)") * one > scaled, low - 1).otherwise(low)
-    twice_rest = (scaled - low.cast("decimal(20,0)") * one) * F.lit(2).cast("decimal(1,0)")
-    up = (twice_rest > one) | ((twice_rest == one) & (low % 2 == 1))
-    units = low + F.when(up, 1).otherwise(0)
-    text = F.format_string(
-        f"%d.%0{digits}d", F.floor(units / 10**digits), F.pmod(units, F.lit(10**digits))
-    )
-    return F.when((x >= 1) & (x < 1024), text).otherwise(F.format_string(f"%.{digits}f", x))
+    x = F.abs(_col(value))
+    whole = F.floor(x)
+    scaled = ((x - whole) * float(_FRACTION)).cast("long") * 10**digits
+    low = F.shiftright(scaled, 52)
+    rest = scaled.bitwiseAND(F.lit(_FRACTION - 1))
+    up = (rest > _FRACTION // 2) | ((rest == _FRACTION // 2) & (low % 2 == 1))
+    units = whole * 10**digits + low + up.cast("int")
+    sign = F.when(_col(value) < 0, "-").otherwise("")
+    text = F.lpad((units % 10**digits).cast("string"), digits, "0")
+    return F.concat(sign, F.floor(units / 10**digits).cast("string"), F.lit("."), text)
+
+
+def _stepped(steps: list[tuple[Column, Column]], last: Column) -> Column:
+    """The value of the first step whose condition holds."""
+    out = last
+    for condition, value in reversed(steps):
+        out = F.when(condition, value).otherwise(out)
+    return out
 
 
 def readable_bytes(n: ColumnOrName) -> Column:
     """Byte count as text such as ``1.5 MB``."""
     size = _col(n).cast("double")
-    out = F.concat(fixed_point(size / 1024.0 ** (len(BYTE_UNITS) - 1), 1), F.lit(f" {BYTE_UNITS[-1]}"))
-    for power in range(len(BYTE_UNITS) - 2, -1, -1):
-        text = F.concat(fixed_point(size / 1024.0**power, 1), F.lit(f" {BYTE_UNITS[power]}"))
-        out = F.when(size < 1024.0 ** (power + 1), text).otherwise(out)
-    return F.when(size.isNotNull(), out)
+    below = [size < 1024.0 ** (power + 1) for power in range(len(BYTE_UNITS) - 1)]
+    powers = [F.lit(1024.0**power) for power in range(len(BYTE_UNITS))]
+    units = [F.lit(unit) for unit in BYTE_UNITS]
+    amount = size / _stepped(list(zip(below, powers)), powers[-1])
+    return F.concat(fixed_point(amount, 1), F.lit(" "), _stepped(list(zip(below, units)), units[-1]))
 
 
 def readable_time(seconds: ColumnOrName) -> Column:
     """Duration as text such as ``1.50 ms``."""
     s = _col(seconds).cast("double")
-    out = F.concat(fixed_point(s * 1e9, 2), F.lit(" ns"))
-    for floor, unit in reversed(TIME_UNITS):
-        amount = s / floor if floor >= 1 else s * (1e3 if unit == "ms" else 1e6)
-        out = F.when(s >= floor, F.concat(fixed_point(amount, 2), F.lit(f" {unit}"))).otherwise(out)
-    return F.when(s.isNotNull(), out)
+    amounts = [s / 3600, s / 60, s, s * 1e3, s * 1e6]
+    reached = [s >= floor for floor, _ in TIME_UNITS]
+    units = [F.lit(unit) for _, unit in TIME_UNITS]
+    amount = _stepped(list(zip(reached, amounts)), s * 1e9)
+    return F.concat(fixed_point(amount, 2), F.lit(" "), _stepped(list(zip(reached, units)), F.lit("ns")))
 
 
 def safe_ratio(a: ColumnOrName, b: ColumnOrName) -> Column:

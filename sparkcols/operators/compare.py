@@ -62,5 +62,5 @@ def peak_bytes(m: DataFrame) -> DataFrame:
 
 def memory_pivot(m: DataFrame, variants: list[str]) -> DataFrame:
     """Readable peak bytes: one row per op, one column per variant."""
-    wide = peak_bytes(m).groupBy("op").pivot("variant", variants).agg(F.first("peak"))
-    return wide.select("op", *[readable_bytes(F.col(v)).alias(v) for v in variants])
+    texts = peak_bytes(m).withColumn("peak", readable_bytes("peak"))
+    return texts.groupBy("op").pivot("variant", variants).agg(F.first("peak"))

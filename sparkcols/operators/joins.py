@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkcols.operators.storage import total_bytes
+from sparkcols.operators.storage import has_logical_size, total_bytes
 
 BROADCAST_BYTES = 64 * 1024**2
 ROW_OVERHEAD = 32
@@ -20,8 +20,11 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """True when the measured size of ``df`` is within ``limit`` bytes.
 
     The row count comes first: on Parquet it reads footers only, and it already
-    rules out a table that is far too large.
+    rules out a table that is far too large. A table with nested columns is
+    never taken for small.
     """
+    if not has_logical_size(df):
+        return False
     overhead = df.count() * ROW_OVERHEAD
     if overhead > limit:
         return False

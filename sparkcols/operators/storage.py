@@ -27,6 +27,14 @@ def _bytes_of(field: T.StructField) -> Column:
     raise TypeError(f"{field.name}: no logical size for {kind}")
 
 
+def has_logical_size(df: DataFrame) -> bool:
+    """True when all columns are of flat types, whose size is a matter of counting."""
+    return all(
+        isinstance(f.dataType, (T.StringType, T.BinaryType, T.DecimalType)) or f.dataType.simpleString() in WIDTHS
+        for f in df.schema
+    )
+
+
 def logical_bytes(df: DataFrame) -> DataFrame:
     """Uncompressed bytes per column, one row per column; NULL takes none."""
     sizes = df.agg(*[_bytes_of(f).cast("long").alias(f.name) for f in df.schema])

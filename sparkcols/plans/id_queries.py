@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkcols.functions import scalars
 from sparkcols.operators import aggregates as agg, columns as cols, ids, joins, ordering as order
 from sparkcols.plans.registry import query
+from sparkcols.session import staged
 from sparkcols.sources.tables import named_table
 
 UUID_SQL = """SELECT h[1:8] || '-' || h[9:12] || '-7' || r[1:3] || '-8' || r[4:6] || '-' || r[7:18] AS id, event_id
@@ -70,7 +71,8 @@ def sample_keys(kind, spark, sf_dir):
 
 
 def join_count(kind, spark, sf_dir):
-    return joins.join_count(keyed(spark, sf_dir, kind), sample_keys(kind, spark, sf_dir), "id", "id")
+    lookup = staged(sample_keys(kind, spark, sf_dir), "lookup")
+    return joins.join_count(keyed(spark, sf_dir, kind), lookup, "id", "id")
 
 
 for _kind, _table in TABLE_SQL.items():
