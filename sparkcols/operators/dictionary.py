@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkcols.operators.joins import BROADCAST_BYTES, lookup_join
+from sparkcols.operators.joins import BROADCAST_BYTES, fits_broadcast, lookup_join
 from sparkcols.operators.ordering import with_row_number
+from sparkcols.session import staged
 
 MAX_INT = 2**31 - 1
+LITERAL_CODES = 1000
 
 
-def build_dictionary(df: DataFrame, column: str) -> DataFrame:
+def _ranked(df: DataFrame, column: str, limit: int) -> tuple[DataFrame, bool]:
+    """The dictionary of a column and whether it was measured to be within ``limit`` bytes."""
+    values = staged(df.select(column).where(F.col(column).isNotNull()).distinct(), "values")
+    small = fits_broadcast(values, limit)
+    if small:
+        code = F.row_number().over(Window.orderBy(column))
+        return staged(values.select(code.alias("code"), column), "dictionary"), True
+    ranked = with_row_number(values, [column], "code")
+    kind = "int" if values.count() <= MAX_INT else "long"
+    return staged(ranked.select(F.col("code").cast(kind).alias("code"), column), "dictionary"), False
+
+
+def build_dictionary(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Table of (``code``, ``column``), codes dense from 1 in the order of the values.
 
-    Only distinct values are ranked, and the ranking is distributed, so a
-    column with very many values works too.
+    Only distinct values are ranked: in one sort while they are within
+    ``limit`` bytes, else by range partitions, so any number of values works.
     """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranked = with_row_number(values, [column], "code")
-    kind = "int" if ranked.count() <= MAX_INT else "long"
-    return ranked.select(F.col("code").cast(kind).alias("code"), column)
+    return _ranked(df, column, limit)[0]
 
 
 def dict_encode(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """The rows with ``column`` replaced by ``code``, and the dictionary. NULL stays NULL."""
-    dictionary = build_dictionary(df, column)
-    coded = lookup_join(df, dictionary, column, "left", limit)
+    dictionary, small = _ranked(df, column, limit)
+    coded = lookup_join(df, dictionary, column, "left", limit, small)
     return coded.select(*[F.col("code") if c == column else F.col(c) for c in df.columns]), dictionary
 
 
@@ -36,10 +47,18 @@ def dict_decode(codes: DataFrame, dictionary: DataFrame, limit: int = BROADCAST_
     return rows.select(*[F.col(value) if c == "code" else F.col(c) for c in codes.columns])
 
 
-def dict_filter(codes: DataFrame, dictionary: DataFrame, predicate: Column,
-                limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Coded rows whose value meets ``predicate``, which is evaluated once per dictionary entry."""
-    return lookup_join(codes, dictionary.where(predicate).select("code"), "code", "left_semi", limit)
+def dict_filter(codes: DataFrame, dictionary: DataFrame, predicate: Column, limit: int = BROADCAST_BYTES,
+                literals: int = LITERAL_CODES) -> DataFrame:
+    """Coded rows whose value meets ``predicate``, which is evaluated once per dictionary entry.
+
+    Up to ``literals`` matching codes become a literal ``IN`` list, which is
+    pushed to the scan of the coded table. More than that are joined.
+    """
+    matching = dictionary.where(predicate).select("code")
+    found = [r["code"] for r in matching.limit(literals + 1).collect()]
+    if len(found) <= literals:
+        return codes.where(F.col("code").isin(found))
+    return lookup_join(codes, matching, "code", "left_semi", limit)
 
 
 def dict_group_count(codes: DataFrame, dictionary: DataFrame) -> DataFrame:

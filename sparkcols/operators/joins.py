@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sparkcols.operators.storage import has_logical_size, total_bytes
+from sparkcols.operators.storage import has_logical_size, table_size
 
 BROADCAST_BYTES = 64 * 1024**2
 ROW_OVERHEAD = 32
@@ -19,16 +19,13 @@ HOT_SAMPLE = 1_000_000
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """True when the measured size of ``df`` is within ``limit`` bytes.
 
-    The row count comes first: on Parquet it reads footers only, and it already
-    rules out a table that is far too large. A table with nested columns is
-    never taken for small.
+    One aggregate over the columns that would be sent. A table with nested
+    columns is never taken for small.
     """
     if not has_logical_size(df):
         return False
-    overhead = df.count() * ROW_OVERHEAD
-    if overhead > limit:
-        return False
-    return overhead + (total_bytes(df).first()["bytes"] or 0) <= limit
+    size = table_size(df).first()
+    return (size["bytes"] or 0) + size["rows"] * ROW_OVERHEAD <= limit
 
 
 def join_count(fact: DataFrame, lookup: DataFrame, fact_key: str, lookup_key: str,
@@ -66,15 +63,15 @@ def _hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str | list[str], how: str = "left",
-                limit: int = BROADCAST_BYTES) -> DataFrame:
+                limit: int = BROADCAST_BYTES, small: bool | None = None) -> DataFrame:
     """Join rows with a table that has one row per key (``left``, ``inner`` or ``left_semi``).
 
-    A lookup beyond ``limit`` is shuffled. Rows of hot keys then join their few
+    ``small`` states the outcome of a size check that was already made. A lookup beyond ``limit`` is shuffled. Rows of hot keys then join their few
     lookup rows by broadcast and rows without a key skip the join, so neither
     piles up in one task.
     """
     keys = [key] if isinstance(key, str) else key
-    if fits_broadcast(lookup, limit):
+    if fits_broadcast(lookup, limit) if small is None else small:
         return rows.join(F.broadcast(lookup), keys, how)
     hot = _hot_keys(rows, keys)
     hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi")

@@ -42,8 +42,10 @@ def logical_bytes(df: DataFrame) -> DataFrame:
     return sizes.select(F.inline(F.array(*entries)))
 
 
-def total_bytes(df: DataFrame) -> DataFrame:
-    return logical_bytes(df).agg(F.sum("bytes").alias("bytes"))
+def table_size(df: DataFrame) -> DataFrame:
+    """Rows and uncompressed bytes of the whole table, in one pass."""
+    total = sum((_bytes_of(f) for f in df.schema), F.lit(0))
+    return df.agg(F.count("*").alias("rows"), total.cast("long").alias("bytes"))
 
 
 def stored_bytes(spark: SparkSession, folders: dict[str, str]) -> DataFrame:

@@ -43,8 +43,9 @@ def test_codes_are_dense_and_keep_the_order(words):
 def test_filter_on_the_dictionary_equals_the_plain_filter(words, limit):
     codes, entries = dictionary.dict_encode(words, "word", limit)
     for predicate in (F.col("word").like("w%_1"), F.col("word") == "hot", F.col("word").isin("w1", "none")):
-        kept = dictionary.dict_filter(codes, entries, predicate, limit)
-        assert same(kept.select("id"), words.where(predicate).select("id"))
+        for literals in (1000, 0):
+            kept = dictionary.dict_filter(codes, entries, predicate, limit, literals)
+            assert same(kept.select("id"), words.where(predicate).select("id"))
 
 
 def test_group_on_codes_equals_group_on_values(words):
@@ -105,10 +106,12 @@ def test_encoding_report(spark, words):
     assert row.dict == sum(map(len, set(plain)))
 
 
-def test_like_on_the_dictionary_runs_on_the_small_table(words):
+def test_like_on_the_dictionary_reaches_the_scan_as_codes(spark, words, tmp_path):
     codes, entries = dictionary.dict_encode(words, "word")
-    kept = dictionary.dict_filter(codes, entries, F.col("word").like("%_1"))
-    plan = plan_of(kept)
-    assert "Join type: LeftSemi" in plan and "BroadcastHashJoin" in plan
-    assert same(cols.count_like(words, "word", "%_1"),
-                kept.agg(F.count("*").alias("n")))
+    codes.write.parquet(str(tmp_path / "codes"))
+    stored = spark.read.schema(codes.schema).parquet(str(tmp_path / "codes"))
+    few = dictionary.dict_filter(stored, entries, F.col("word").like("w_1"))
+    assert "PushedFilters: [In(code, [" in plan_of(few) and "Join" not in plan_of(few)
+    many = dictionary.dict_filter(stored, entries, F.col("word").like("%_1"), literals=3)
+    assert "Join type: LeftSemi" in plan_of(many) and "BroadcastHashJoin" in plan_of(many)
+    assert same(cols.count_like(words, "word", "%_1"), many.agg(F.count("*").alias("n")))

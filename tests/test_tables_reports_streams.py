@@ -135,7 +135,8 @@ def test_logical_bytes(spark):
     df = spark.createDataFrame([(1, "é", 1.0, True), (None, "ab", None, None)], "k long, s string, x double, b boolean")
     df = df.withColumn("v", scalars.rand_u64("s"))
     assert {r.column: r.bytes for r in storage.logical_bytes(df).collect()} == {"k": 8, "s": 4, "x": 8, "b": 1, "v": 32}
-    assert storage.total_bytes(df).first().bytes == 53
+    assert tuple(storage.table_size(df).first()) == (2, 53)
+    assert tuple(storage.table_size(df.limit(0)).first()) == (0, 0)
     with pytest.raises(TypeError):
         storage.logical_bytes(df.select(F.array("k").alias("a")))
 
