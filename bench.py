@@ -40,6 +40,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
         spark__ui__enabled="false",
+        spark__python__sql__dataFrameDebugging__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 _LOW_BITS = 20
 
 
-def exact_sum(column: str | Column, scale: int) -> Column:
+def exact_sum(column: str, scale: int) -> Column:
     """Sum of a double column whose values have at most ``scale`` decimals.
 
     A plain double sum depends on the order in which partitions arrive. Here
@@ -20,12 +20,11 @@ def exact_sum(column: str | Column, scale: int) -> Column:
     neither running total can leave the long range, and the result is the same
     for every partitioning and after any task retry.
     """
-    x = F.col(column) if isinstance(column, str) else column
-    units = F.rint(x * float(10**scale)).cast("long")
-    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND(F.lit(2**_LOW_BITS - 1)))
-    total = high * F.lit(2**_LOW_BITS).cast("decimal(8,0)") + low.cast("decimal(20,0)")
-    return total.cast("double") / float(10**scale)
+    name, factor = column.replace("`", "``"), f"{10**scale}D"
+    units = f"CAST(rint(`{name}` * {factor}) AS BIGINT)"
+    high = f"CAST(sum(shiftright({units}, {_LOW_BITS})) AS DECIMAL(20,0))"
+    low = f"sum({units} & {2**_LOW_BITS - 1})"
+    return F.expr(f"CAST({high} * {2**_LOW_BITS} + {low} AS DOUBLE) / {factor}")
 
 
 def total_of(column: str, scale: int | None = None) -> Column:

@@ -7,7 +7,7 @@ and row-returning lookups take the hot keys out of the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sparkcols.operators.storage import has_logical_size, table_size
 
@@ -32,34 +32,39 @@ def join_count(fact: DataFrame, lookup: DataFrame, fact_key: str, lookup_key: st
                limit: int = BROADCAST_BYTES) -> DataFrame:
     """Number of row pairs with equal keys.
 
-    A lookup within ``limit`` is broadcast and the fact rows are not shuffled.
-    Otherwise both sides are counted per key before the join: a pair count is
-    the sum over keys of the product of the two counts, so a hot key crosses
-    the network as one row per task and never expands into its pairs.
+    The lookup is first reduced to its row count per key, so a key repeated on
+    both sides is never expanded into its pairs. Within ``limit`` those counts
+    are broadcast and the fact rows are not shuffled. Beyond it the facts are
+    counted per key too, and a hot key crosses the network as one row per task.
     """
-    facts = fact.select(F.col(fact_key).alias("key"))
-    keys = lookup.select(F.col(lookup_key).alias("key"))
+    facts = fact.select(F.col(fact_key).alias("key")).where("key IS NOT NULL")
+    keys = lookup.select(F.col(lookup_key).alias("key")).where("key IS NOT NULL")
+    right = keys.groupBy("key").agg(F.count("*").alias("right_rows"))
     if fits_broadcast(keys, limit):
-        return facts.join(F.broadcast(keys), "key").agg(F.count("*").alias("n"))
-    left = facts.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("left_rows"))
-    right = keys.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("right_rows"))
-    pairs = F.sum(F.col("left_rows") * F.col("right_rows"))
-    return left.join(right, "key").agg(F.coalesce(pairs, F.lit(0)).alias("n"))
+        pairs = facts.join(F.broadcast(right), "key").agg(F.sum("right_rows").alias("n"))
+    else:
+        left = facts.groupBy("key").agg(F.count("*").alias("left_rows"))
+        pairs = left.join(right, "key").agg(F.sum(F.col("left_rows") * F.col("right_rows")).alias("n"))
+    return pairs.select(F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that hold about one shuffle partition's even share of the rows or more.
 
     They are counted on a row sample: a miss costs balance, never rows. Fewer
-    than two such keys per shuffle partition can exist, which bounds the list.
+    than two such keys per shuffle partition can exist, and of those the
+    hottest are kept that fit the broadcast bound, however long their text.
     """
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    sample = rows.select(*keys).dropna().sample(min(1.0, HOT_SAMPLE / max(rows.count(), 1)), seed=7)
-    counts = sample.groupBy(*keys).agg(F.count("*").alias("n"))
-    share = F.lit(max(min(HOT_SAMPLE, rows.count()) / (2 * parts), 1.0))
-    hot = counts.where(F.col("n") > share).select(*keys).collect()
-    return spark.createDataFrame(hot, T.StructType([rows.schema[k] for k in keys]))
+    total = rows.count()
+    sample = rows.select(*keys).dropna().sample(min(1.0, HOT_SAMPLE / max(total, 1)), seed=7)
+    counts = sample.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") > max(min(HOT_SAMPLE, total) / (2 * parts), 1.0))
+    size = sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(ROW_OVERHEAD))
+    kept = hot.withColumn("_bytes", F.sum(size).over(Window.orderBy(F.desc("_n"), *keys)))
+    found = kept.where(F.col("_bytes") <= BROADCAST_BYTES).select(*keys).collect()
+    return spark.createDataFrame(found, T.StructType([rows.schema[k] for k in keys]))
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str | list[str], how: str = "left",

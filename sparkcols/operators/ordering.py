@@ -8,6 +8,7 @@ from sparkcols.session import staged
 
 PLAIN_ROWS = 1_000_000
 SAMPLE_KEYS = 10_000
+MERGED_TASKS = 4
 
 
 def sort_desc(df: DataFrame, column: str, *ties: str) -> DataFrame:
@@ -33,12 +34,15 @@ def page(df: DataFrame, key: str, limit: int, offset: int, plain_rows: int = PLA
     """``limit`` keys in ascending order after skipping ``offset``; keys are unique IDs.
 
     A sort with an offset holds offset + limit rows per task and sends them all
-    to one final task. On a large table the key range around the wanted
-    positions is narrowed first, with exact counts, until few rows are left to
-    sort; only scans and global counts are used for that, no shuffle.
+    to one final task. Where that is too many, taking a task for each
+    ``plain_rows`` rows, the key range around the wanted positions is narrowed
+    first, with exact counts, until few rows are left to sort; only scans and
+    global counts are used for that, no shuffle.
     """
     keys = df.select(key).where(F.col(key).isNotNull())
     total = keys.count()
+    if (total // plain_rows + 1) * (offset + limit) <= MERGED_TASKS * plain_rows:
+        return keys.orderBy(key).offset(offset).limit(limit)
     low, high, skipped, inside = None, None, 0, total
     slack = 3.0
     while inside > plain_rows and _still_open(low, high):

@@ -81,12 +81,20 @@ def test_pair_count_with_repeats_and_nulls(spark, limit):
     assert joins.join_count(a.where("k = 4"), b, "k", "k", limit).first().n == 0
 
 
+def test_pair_count_of_a_key_hot_on_both_sides(spark, limit):
+    """A billion pairs of one key are counted, not made."""
+    a = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    b = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    assert joins.join_count(a, b, "k", "k", limit).first().n == 100_000 * 10_000 + 20_000
+
+
 def test_large_join_counts_before_it_joins(spark, sf_dir):
     fact, lookup = named_table(spark, sf_dir, "lineitem"), named_table(spark, sf_dir, "orders")
     plan = plan_of(joins.join_count(fact, lookup, "l_orderkey", "o_orderkey", limit=0))
     assert plan.count("HashAggregate") > 4
     small = plan_of(joins.join_count(fact, lookup, "l_orderkey", "o_orderkey"))
-    assert "BroadcastHashJoin" in small and "hashpartitioning" not in small
+    assert "BroadcastHashJoin" in small and "hashpartitioning(l_orderkey" not in small
+    assert "hashpartitioning(key" in small  # of the lookup
 
 
 def test_broadcast_bound_is_measured(spark):
