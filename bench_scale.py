@@ -44,25 +44,40 @@ class Clock:
             self.rows.append((op, variant, 1, self.rows[-1][3], 0))
 
 
-def sales_suite(spark: SparkSession, clock: Clock, rows: int) -> None:
-    path = new_table_path(spark, "sales")
-    clock.run("ingest", "stored", lambda: layout.sorted_layout(generators.gen_uniform(spark, rows), ["id"], path, FILES), True)
-    df = spark.read.schema(schemas.SALES).parquet(path)
-    for variant in ("stored", "cached"):
+def sales_suite(spark: SparkSession, clock: Clock, rows: int) -> dict[str, str]:
+    paths = {variant: new_table_path(spark, variant) for variant in ("stored", "by_category", "by_subcategory")}
+    source = staged(generators.gen_uniform(spark, rows), "source")
+    clock.run("ingest", "stored", lambda: layout.sorted_layout(source, ["id"], paths["stored"], FILES), True)
+    df = spark.read.schema(schemas.SALES).parquet(paths["stored"])
+
+    def covering_copies():
+        keys = ["category", "subcategory"]
+        layout.covering_projection(df, keys, ["amount"], paths["by_category"], FILES)
+        layout.covering_projection(df, keys[1:], ["amount"], paths["by_subcategory"], FILES)
+
+    clock.run("ingest", "covering", covering_copies, True)
+    narrow = spark.read.schema("category string, subcategory string, amount double").parquet(paths["by_category"])
+    narrower = spark.read.schema("subcategory string, amount double").parquet(paths["by_subcategory"])
+    for variant in ("stored", "cached", "covering"):
+        by_category, by_subcategory = (narrow, narrower) if variant == "covering" else (df, df)
         if variant == "cached":
             df.cache().count()
-        clock.run("column sum", variant, lambda: agg.col_sum(df, "amount"))
-        clock.run("column multiply", variant, lambda: cols.col_multiply(df, "amount", "quantity"))
-        clock.run("filter", variant, lambda: cols.filter_gt(df, "amount", 500.0))
-        clock.run("sort", variant, lambda: order.sort_desc(df, "amount", "id"))
-        clock.run("count distinct", variant, lambda: agg.count_distinct(df, "category"))
-        clock.run("group sum", variant, lambda: agg.group_sum(df, "category", "amount"))
-        clock.run("group sum, exact", variant, lambda: agg.group_sum(df, "category", "amount", 2))
-        clock.run("group count", variant, lambda: agg.group_count(df, "category"))
-        clock.run("group multi", variant, lambda: agg.group_multi(df, "category", "amount"))
-        clock.run("group multi-key", variant, lambda: agg.group_sum(df, ["category", "subcategory"], "amount"))
-        clock.run("group high-card", variant, lambda: agg.group_sum(df, "subcategory", "amount"))
-    df.unpersist()
+        if variant != "covering":
+            clock.run("column sum", variant, lambda: agg.col_sum(df, "amount"))
+            clock.run("column multiply", variant, lambda: cols.col_multiply(df, "amount", "quantity"))
+            clock.run("filter", variant, lambda: cols.filter_gt(df, "amount", 500.0))
+            clock.run("sort", variant, lambda: order.sort_desc(df, "amount", "id"))
+        clock.run("count distinct", variant, lambda: agg.count_distinct(by_category, "category"))
+        clock.run("count distinct, by groups", variant, lambda: agg.count_groups(by_category, "category"))
+        clock.run("group sum", variant, lambda: agg.group_sum(by_category, "category", "amount"))
+        clock.run("group sum, exact", variant, lambda: agg.group_sum(by_category, "category", "amount", 2))
+        clock.run("group count", variant, lambda: agg.group_count(by_category, "category"))
+        clock.run("group multi", variant, lambda: agg.group_multi(by_category, "category", "amount"))
+        clock.run("group multi-key", variant, lambda: agg.group_sum(by_category, ["category", "subcategory"], "amount"))
+        clock.run("group high-card", variant, lambda: agg.group_sum(by_subcategory, "subcategory", "amount"))
+        if variant == "cached":
+            df.unpersist()
+    return paths
 
 
 def text_suite(spark: SparkSession, clock: Clock, rows: int, k: int) -> dict[str, str]:
@@ -140,12 +155,13 @@ def main() -> None:
     runs = int(sys.argv[2]) if len(sys.argv) > 2 else 3
     spark = build_session(
         "bench-scale", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g",
-        spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__ui__enabled="false", spark__python__sql__dataFrameDebugging__enabled="false",
+        spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     sales, text, keys = Clock(runs), Clock(runs), Clock(runs)
-    sales_suite(spark, sales, rows)
-    report(spark, f"Columns, {rows:,} rows", sales, ["stored", "cached"], {})
+    paths = sales_suite(spark, sales, rows)
+    report(spark, f"Columns, {rows:,} rows", sales, ["stored", "cached", "covering"], paths)
     paths = {**text_suite(spark, text, rows, 10), **text_suite(spark, text, rows, 1000)}
     report(spark, f"Text, {rows:,} rows", text, ["plain_10", "coded_10", "plain_1000", "coded_1000"], paths)
     paths = id_suite(spark, keys, rows)

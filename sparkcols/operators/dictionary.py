@@ -14,6 +14,8 @@ LITERAL_CODES = 1000
 
 def _ranked(df: DataFrame, column: str, limit: int) -> tuple[DataFrame, bool]:
     """The dictionary of a column and whether it was measured to be within ``limit`` bytes."""
+    if "code" in df.columns:
+        raise ValueError("the coded table needs the column name 'code' for itself")
     values = staged(df.select(column).where(F.col(column).isNotNull()).distinct(), "values")
     small = fits_broadcast(values, limit)
     if small:

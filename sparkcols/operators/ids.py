@@ -42,20 +42,19 @@ def snowflake_id(
 
     first_slot = F.col("_tick") * F.lit(2**seq_bits)
     # one row per range partition and machine: at most partitions + machines rows
-    summary = placed.groupBy("part", "_machine").agg(F.max(first_slot - F.col("place")).alias("lead"))
-    earlier = Window.partitionBy("_machine").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.join(F.broadcast(part_offsets(placed)), "part").select(
-        "part", "_machine", "before", F.max(F.col("lead") - F.col("before")).over(earlier).alias("carry")
+    summary = placed.groupBy("_part", "_machine").agg(F.max(first_slot - F.col("_place")).alias("_lead"))
+    earlier = Window.partitionBy("_machine").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.join(F.broadcast(part_offsets(placed)), "_part").select(
+        "_part", "_machine", "_before", F.max(F.col("_lead") - F.col("_before")).over(earlier).alias("_carry")
     )
 
     rows = placed.join(
         F.broadcast(carry),
-        (placed["part"] == carry["part"]) & placed["_machine"].eqNullSafe(carry["_machine"]),
-    ).select(placed["*"], carry["before"], carry["carry"])
-    g = F.col("before") + F.col("place")
-    so_far = Window.partitionBy("part", "_machine").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    running = F.max(first_slot - g).over(so_far)
-    slot = g + F.greatest(running, F.col("carry"))
+        (placed["_part"] == carry["_part"]) & placed["_machine"].eqNullSafe(carry["_machine"]),
+    ).select(placed["*"], carry["_before"], carry["_carry"])
+    g = F.col("_before") + F.col("_place")
+    so_far = Window.partitionBy("_part", "_machine").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    slot = g + F.greatest(F.max(first_slot - g).over(so_far), F.col("_carry"))
     sid = (
         F.shiftleft(F.shiftright(slot, seq_bits), MACHINE_BITS + seq_bits)
         .bitwiseOR(F.shiftleft(F.col("_machine"), seq_bits))
@@ -89,8 +88,7 @@ def sample_keys(df: DataFrame, key: str, k: int, salt: str = "", plain_rows: int
 def anchor_keys(df: DataFrame, key: str, n: int = 5, offset: int | None = None,
                 plain_rows: int = PLAIN_ROWS) -> DataFrame:
     """``n`` neighbouring keys, from the middle of the table unless told otherwise."""
-    start = df.count() // 2 if offset is None else offset
-    return page(df, key, n, start, plain_rows)
+    return page(df, key, n, offset, plain_rows)
 
 
 def bound_query(spark: SparkSession, text: str, tables: dict[str, DataFrame], **values: Any) -> DataFrame:

@@ -30,8 +30,10 @@ def top_desc(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.select(column).orderBy(F.desc(column)).limit(k)
 
 
-def page(df: DataFrame, key: str, limit: int, offset: int, plain_rows: int = PLAIN_ROWS) -> DataFrame:
-    """``limit`` keys in ascending order after skipping ``offset``; keys are unique IDs.
+def page(df: DataFrame, key: str, limit: int, offset: int | None = None, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """``limit`` keys in ascending order after skipping ``offset``, by default half of them.
+
+    Keys are unique IDs; rows without one are not counted.
 
     A sort with an offset holds offset + limit rows per task and sends them all
     to one final task. Where that is too many, taking a task for each
@@ -41,6 +43,7 @@ def page(df: DataFrame, key: str, limit: int, offset: int, plain_rows: int = PLA
     """
     keys = df.select(key).where(F.col(key).isNotNull())
     total = keys.count()
+    offset = total // 2 if offset is None else offset
     if (total // plain_rows + 1) * (offset + limit) <= MERGED_TASKS * plain_rows:
         return keys.orderBy(key).offset(offset).limit(limit)
     low, high, skipped, inside = None, None, 0, total
@@ -93,7 +96,7 @@ def _within(keys: DataFrame, key: str, low, high) -> DataFrame:
 def with_position(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """Rows range-partitioned and sorted by ``order`` with their partition and place.
 
-    Adds ``part`` (partition number, ascending with the order) and ``place``
+    Adds ``_part`` (partition number, ascending with the order) and ``_place``
     (0-based row number inside it). ``order`` ends in a unique key, so equal
     leading values spread over partitions. The result is written to the shared
     folder, because the ranges could differ in a second evaluation.
@@ -101,20 +104,20 @@ def with_position(df: DataFrame, order: list[Column | str]) -> DataFrame:
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     marked = ranged.withColumn("_mark", F.monotonically_increasing_id())
     placed = marked.withColumns({
-        "part": F.shiftright("_mark", 33).cast("int"),
-        "place": F.col("_mark").bitwiseAND(F.lit(2**33 - 1)),
+        "_part": F.shiftright("_mark", 33).cast("int"),
+        "_place": F.col("_mark").bitwiseAND(F.lit(2**33 - 1)),
     }).drop("_mark")
     return staged(placed, "ranged")
 
 
 def part_offsets(placed: DataFrame) -> DataFrame:
-    """Number of rows before each partition: one row per partition."""
-    counts = placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
+    """Number of rows before each partition, ``_before``: one row per partition."""
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
     offsets, before = [], 0
     for row in counts:
-        offsets.append((row["part"], before))
+        offsets.append((row["_part"], before))
         before += row["n"]
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
     return placed.sparkSession.createDataFrame(offsets, schema)
 
 
@@ -125,5 +128,5 @@ def with_row_number(df: DataFrame, order: list[Column | str], alias: str = "rn")
     table as long as there are partitions, give the offset of each.
     """
     placed = with_position(df, order)
-    numbered = placed.join(F.broadcast(part_offsets(placed)), "part")
-    return numbered.withColumn(alias, F.col("before") + F.col("place") + 1).select(*df.columns, alias)
+    numbered = placed.join(F.broadcast(part_offsets(placed)), "_part")
+    return numbered.withColumn(alias, F.col("_before") + F.col("_place") + 1).select(*df.columns, alias)

@@ -28,6 +28,13 @@ def typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def released(spark: SparkSession, name: str) -> DataFrame:
+    """The rows of a table whose name is given back; its files stay where they are."""
+    rows = spark.table(name)
+    sinks.drop_table(spark, name)
+    return rows
+
+
 @query(
     """SELECT l_orderkey AS id, l_returnflag AS category, CAST(l_partkey AS VARCHAR) AS subcategory,
     l_extendedprice AS amount, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem"""
@@ -59,7 +66,9 @@ def number_sequence(spark, sf_dir):
 @query("SELECT * FROM lineitem WHERE l_extendedprice > 50000")
 def materialize(spark, sf_dir):
     rows = cols.filter_gt(lineitem(spark, sf_dir), "l_extendedprice", PRICE_THRESHOLD)
-    return sinks.materialize(rows, *new_table(spark, "filtered"))
+    name, path = new_table(spark, "filtered")
+    sinks.materialize(rows, name, path)
+    return released(spark, name)
 
 
 @query(
@@ -74,7 +83,7 @@ def append(spark, sf_dir):
     sinks.append(
         rows.withColumns({"id": F.col("id") + 1_000_000_000_000, "event_type": F.upper("event_type")}), name
     )
-    return spark.table(name).select("id", "event_type")
+    return released(spark, name).select("id", "event_type")
 
 
 @query("SELECT event_id AS id, event_type FROM events")
@@ -85,7 +94,7 @@ def create_table(spark, sf_dir):
     sinks.drop_table(spark, name)
     sinks.create_table(spark, name, schemas.TYPED_EVENTS, new_table_path(spark, "created"))
     sinks.append(typed_events(spark, sf_dir), name)
-    return spark.table(name).select("id", "event_type")
+    return released(spark, name).select("id", "event_type")
 
 
 @query(f"SELECT u.id, {U64_SQL.replace('event_id', 'u.event_id')} AS value FROM ({UUID_SQL}) u")
@@ -95,7 +104,7 @@ def with_defaults(spark, sf_dir):
     sinks.create_table(spark, name, schemas.KEYED_VALUES["uuid"], path)
     rows = events(spark, sf_dir).withColumn("value", scalars.rand_u64("event_id"))
     sinks.append(sinks.with_defaults(rows, {"id": scalars.uuid_v7("ts", "event_id")}), name)
-    return spark.table(name)
+    return released(spark, name)
 
 
 @query("SELECT event_id, ts, user_id, event_type, value FROM events")
@@ -115,10 +124,10 @@ def covering_projection(spark, sf_dir):
 @query(f"SELECT l_partkey, {PRICE_SUM} AS total FROM lineitem GROUP BY l_partkey")
 def bucketed_projection(spark, sf_dir):
     name, path = new_table(spark, "bucketed")
-    narrow = layout.bucketed_projection(
+    layout.bucketed_projection(
         spark, lineitem(spark, sf_dir), ["l_partkey"], ["l_extendedprice"], name, path, buckets=8
     )
-    return agg.group_sum(narrow, "l_partkey", "l_extendedprice", scale=2)
+    return agg.group_sum(released(spark, name), "l_partkey", "l_extendedprice", scale=2)
 
 
 @query(

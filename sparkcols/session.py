@@ -19,6 +19,8 @@ def build_session(app: str = "sparkcols", master: str | None = None, **conf: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # stored timestamps then carry minimum and maximum, so scans can skip by them
+        .config("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     )
     if master:
         builder = builder.master(master)

@@ -66,7 +66,7 @@ def test_snowflake_without_time_or_machine(spark):
 
 def test_snowflake_window_is_split_by_range(spark):
     df = ids.snowflake_id(events_at(spark, [(i, 1, i) for i in range(100)]), "ts", F.col("machine"), "id")
-    assert "hashpartitioning(part" in plan_of(df)
+    assert "hashpartitioning(_part" in plan_of(df)
 
 
 def test_uuid_is_version_7_and_time_ordered(spark):
@@ -156,7 +156,7 @@ def test_positions_split_a_hot_value_over_tasks(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         df = spark.range(80_000).select("id", F.lit(1).alias("v"))
-        sizes = [r["count"] for r in order.with_position(df, ["v", "id"]).groupBy("part").count().collect()]
+        sizes = [r["count"] for r in order.with_position(df, ["v", "id"]).groupBy("_part").count().collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes) == 8 and max(sizes) < 20_000
