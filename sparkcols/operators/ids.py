@@ -44,14 +44,17 @@ def snowflake_id(
     # one row per range partition and machine: at most partitions + machines rows
     summary = placed.groupBy("_part", "_machine").agg(F.max(first_slot - F.col("_place")).alias("_lead"))
     earlier = Window.partitionBy("_machine").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.join(F.broadcast(part_offsets(placed)), "_part").select(
+    offsets, parts = part_offsets(placed)
+    carry = summary.join(F.broadcast(offsets), "_part").select(
         "_part", "_machine", "_before", F.max(F.col("_lead") - F.col("_before")).over(earlier).alias("_carry")
     )
 
-    rows = placed.join(
+    # one task per range partition: these are even in size, hashed pairs of part and machine are not
+    spread = placed.repartitionById(parts, F.col("_part"))
+    rows = spread.join(
         F.broadcast(carry),
-        (placed["_part"] == carry["_part"]) & placed["_machine"].eqNullSafe(carry["_machine"]),
-    ).select(placed["*"], carry["_before"], carry["_carry"])
+        (spread["_part"] == carry["_part"]) & spread["_machine"].eqNullSafe(carry["_machine"]),
+    ).select(spread["*"], carry["_before"], carry["_carry"])
     g = F.col("_before") + F.col("_place")
     so_far = Window.partitionBy("_part", "_machine").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     slot = g + F.greatest(F.max(first_slot - g).over(so_far), F.col("_carry"))

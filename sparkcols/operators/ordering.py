@@ -110,15 +110,17 @@ def with_position(df: DataFrame, order: list[Column | str]) -> DataFrame:
     return staged(placed, "ranged")
 
 
-def part_offsets(placed: DataFrame) -> DataFrame:
-    """Number of rows before each partition, ``_before``: one row per partition."""
+def part_offsets(placed: DataFrame) -> tuple[DataFrame, int]:
+    """Number of rows before each partition, ``_before``, one row per partition; and the
+    number of partitions."""
     counts = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
     offsets, before = [], 0
     for row in counts:
         offsets.append((row["_part"], before))
         before += row["n"]
     schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
-    return placed.sparkSession.createDataFrame(offsets, schema)
+    parts = counts[-1]["_part"] + 1 if counts else 1
+    return placed.sparkSession.createDataFrame(offsets, schema), parts
 
 
 def with_row_number(df: DataFrame, order: list[Column | str], alias: str = "rn") -> DataFrame:
@@ -128,5 +130,6 @@ def with_row_number(df: DataFrame, order: list[Column | str], alias: str = "rn")
     table as long as there are partitions, give the offset of each.
     """
     placed = with_position(df, order)
-    numbered = placed.join(F.broadcast(part_offsets(placed)), "_part")
+    offsets, _ = part_offsets(placed)
+    numbered = placed.join(F.broadcast(offsets), "_part")
     return numbered.withColumn(alias, F.col("_before") + F.col("_place") + 1).select(*df.columns, alias)

@@ -64,9 +64,29 @@ def test_snowflake_without_time_or_machine(spark):
     assert got[4] > got[1]
 
 
-def test_snowflake_window_is_split_by_range(spark):
-    df = ids.snowflake_id(events_at(spark, [(i, 1, i) for i in range(100)]), "ts", F.col("machine"), "id")
-    assert "hashpartitioning(_part" in plan_of(df)
+@pytest.fixture
+def fixed_partitions(spark):
+    """Small inputs keep their shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_snowflake_window_runs_on_range_partitions(spark, fixed_partitions):
+    rows = events_at(spark, [(i, 1, i) for i in range(100)])
+    df = ids.snowflake_id(rows, "ts", F.col("machine"), "id", seq_bits=1, tick=F.floor(F.col("ms") / 7) + BASE)
+    plan = plan_of(df)
+    assert "shufflepartitionidpassthrough" in plan
+    assert plan.count("hashpartitioning(_part") == 1  # of the summary rows only
+    assert df.select("sid").distinct().count() == 100
+
+
+@pytest.mark.parametrize("seq_bits", [1, 3])
+def test_snowflake_carries_over_many_partitions(spark, fixed_partitions, seq_bits):
+    draw = random.Random(9)
+    rows = [(i, 5 if i % 3 else i % 2, draw.randrange(200)) for i in range(2000)]
+    got = ids.snowflake_id(events_at(spark, rows), "ts", F.col("machine"), "id", seq_bits=seq_bits)
+    assert {r.id: r.sid for r in got.collect()} == slots_by_hand(rows, seq_bits)
 
 
 def test_uuid_is_version_7_and_time_ordered(spark):
@@ -152,13 +172,9 @@ def test_row_number_with_a_hot_value(spark):
     assert got == expected
 
 
-def test_positions_split_a_hot_value_over_tasks(spark, monkeypatch):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        df = spark.range(80_000).select("id", F.lit(1).alias("v"))
-        sizes = [r["count"] for r in order.with_position(df, ["v", "id"]).groupBy("_part").count().collect()]
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+def test_positions_split_a_hot_value_over_tasks(spark, fixed_partitions):
+    df = spark.range(80_000).select("id", F.lit(1).alias("v"))
+    sizes = [r["count"] for r in order.with_position(df, ["v", "id"]).groupBy("_part").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 20_000
 
 
