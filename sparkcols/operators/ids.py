@@ -57,7 +57,8 @@ def snowflake_id(
     ).select(spread["*"], carry["_before"], carry["_carry"])
     g = F.col("_before") + F.col("_place")
     so_far = Window.partitionBy("_part", "_machine").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    slot = g + F.greatest(F.max(first_slot - g).over(so_far), F.col("_carry"))
+    rows = rows.withColumn("_slot", g + F.greatest(F.max(first_slot - g).over(so_far), F.col("_carry")))
+    slot = F.col("_slot")
     sid = (
         F.shiftleft(F.shiftright(slot, seq_bits), MACHINE_BITS + seq_bits)
         .bitwiseOR(F.shiftleft(F.col("_machine"), seq_bits))

@@ -7,12 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PARTITION_BYTES = 256 * 1024**2
+DECODED_PER_STORED = 4
+MAX_PARTITIONS = 100_000
+
 
 def build_session(app: str = "sparkcols", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and timestamps in UTC.
 
-    Shuffle parallelism is left to the cluster's own setting: adaptive execution
-    merges small partitions, so a high start value costs little.
+    Shuffle parallelism is left to the cluster's own setting or ``size_shuffles``.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -29,6 +32,19 @@ def build_session(app: str = "sparkcols", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, stored_bytes: int) -> int:
+    """Set the shuffle partitions for input of so many stored bytes, and return their number.
+
+    Adaptive execution merges small partitions but cannot cut a large one in a
+    range exchange, so the start value has to be large enough: about 256 MB of
+    decoded rows each, between the session's parallelism and 100,000.
+    """
+    wanted = -(-stored_bytes * DECODED_PER_STORED // PARTITION_BYTES)
+    parts = max(spark.sparkContext.defaultParallelism, min(wanted, MAX_PARTITIONS))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    return parts
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

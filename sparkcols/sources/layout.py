@@ -64,35 +64,36 @@ def bucketed_projection(spark: SparkSession, df: DataFrame, keys: list[str], col
 def column_stats(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
     """Rows, NULLs, minimum, maximum and distinct values of each column, one row per column.
 
-    The approximate form is one pass with one output row. The exact form runs
-    one aggregate per column, each reading only its own column; a single pass
-    would multiply every row by the number of columns before the shuffle.
+    The approximate form is one pass with one output row. The exact form counts
+    the rows per value, one column at a time, each reading only its own column;
+    a single pass would multiply every row by the number of columns before the
+    shuffle.
     """
     columns = columns or df.columns
-
-    def outputs(c: str, distinct):
-        return {
-            "rows": F.count("*"),
-            "nulls": F.count("*") - F.count(c),
-            "minimum": F.min(c).cast("string"),
-            "maximum": F.max(c).cast("string"),
-            "distinct_values": distinct(c),
-        }
-
     if exact:
-        parts = [
-            df.agg(*[value.alias(name) for name, value in outputs(c, F.count_distinct).items()])
-            .select(F.lit(c).alias("column"), "*")
-            for c in columns
-        ]
+        parts = []
+        for c in columns:
+            value = F.col("value")
+            counts = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
+            parts.append(counts.agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+                F.min(value).cast("string").alias("minimum"),
+                F.max(value).cast("string").alias("maximum"),
+                F.count(value).alias("distinct_values"),
+            ).select(F.lit(c).alias("column"), "*"))
         return reduce(DataFrame.unionByName, parts)
-    packed = df.agg(
-        *[
-            F.struct(F.lit(c).alias("column"), *[v.alias(n) for n, v in outputs(c, F.approx_count_distinct).items()])
-            .alias(f"_{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
+    packed = df.agg(*[
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count("*").alias("rows"),
+            (F.count("*") - F.count(c)).alias("nulls"),
+            F.min(c).cast("string").alias("minimum"),
+            F.max(c).cast("string").alias("maximum"),
+            F.approx_count_distinct(c).alias("distinct_values"),
+        ).alias(f"_{i}")
+        for i, c in enumerate(columns)
+    ])
     return packed.select(F.inline(F.array(*packed.columns)))
 
 

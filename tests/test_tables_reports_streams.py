@@ -70,6 +70,17 @@ def test_shared_dir_is_the_configured_one(spark):
     assert session.new_table_path(spark, "x").startswith(session.shared_dir(spark))
 
 
+def test_shuffle_partitions_follow_the_input(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert session.size_shuffles(spark, 10) == spark.sparkContext.defaultParallelism
+        assert session.size_shuffles(spark, 64 * 1024**3) == 1024
+        assert session.size_shuffles(spark, 100 * 1024**4) == session.MAX_PARTITIONS
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(session.MAX_PARTITIONS)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def sales(spark, hot=False):
     df = generators.gen_uniform(spark, 20_000)
     return df.withColumn("subcategory", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("subcategory"))) if hot else df
@@ -103,6 +114,10 @@ def test_statistics(spark):
     expected = [("k", 4, 1, "1", "2", 2), ("s", 4, 1, "a", "b", 2), ("x", 4, 1, "1.5", "9.0", 3)]
     assert values(layout.column_stats(df)) == expected
     assert values(layout.column_stats(df, exact=True)) == expected
+    empty = [("k", 0, 0, None, None, 0)]
+    assert values(layout.column_stats(df.limit(0), ["k"])) == values(layout.column_stats(df.limit(0), ["k"], True)) == empty
+    plan = plan_of(layout.column_stats(df, ["s"], exact=True))
+    assert "Sort (" not in plan and plan.count("HashAggregate (") >= 2
     name, path = session.new_table(spark, "s")
     sinks.materialize(df, name, path)
     layout.analyze(spark, name, ["k", "s"])
