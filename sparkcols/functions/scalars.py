@@ -91,8 +91,18 @@ def rand_u64(column: ColumnOrName, salt: str = "") -> Column:
 
 
 def epoch_millis(ts: ColumnOrName) -> Column:
-    """Whole milliseconds since 1970, for timestamps with or without a zone."""
-    return F.unix_millis(_col(ts).cast("timestamp"))
+    """Whole milliseconds since 1970; a timestamp without a zone is read as UTC.
+
+    Casting such a timestamp would read it in the session's zone. Its distance
+    from 1970 does not depend on any setting. The type test is a constant, so
+    the plan keeps only the branch that applies.
+    """
+    t = _col(ts)
+    since = t - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    part = {unit: F.extract(F.lit(unit), since) for unit in ("DAY", "HOUR", "MINUTE", "SECOND")}
+    minutes = (part["DAY"].cast("long") * 24 + part["HOUR"]) * 60 + part["MINUTE"]
+    wall = minutes * 60_000 + F.floor(part["SECOND"] * 1000).cast("long")
+    return F.when(F.typeof(t) == "timestamp_ntz", wall).otherwise(F.unix_millis(t.cast("timestamp")))
 
 
 def uuid_v7(ts: ColumnOrName, key: ColumnOrName) -> Column:

@@ -36,7 +36,7 @@ def snowflake_id(
     """
     base = df.withColumns({
         "_machine": F.pmod(machine, F.lit(2**MACHINE_BITS)).cast("long"),
-        "_tick": epoch_millis(ts) if tick is None else tick,
+        "_tick": (epoch_millis(ts) if tick is None else tick).cast("long"),
     })
     placed = with_position(base, ["_machine", "_tick", tie])
 

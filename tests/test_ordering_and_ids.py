@@ -98,10 +98,19 @@ def test_uuid_is_version_7_and_time_ordered(spark):
         assert int(text.replace("-", "")[:12], 16) == BASE + i * 1000
 
 
-def test_timestamps_with_and_without_zone_agree(spark):
-    df = spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, 7, 179575),)], "ts timestamp_ntz")
-    expected = int(datetime(2024, 1, 1, 0, 0, 7, 179575, timezone.utc).timestamp() * 1000)
-    assert df.select(scalars.epoch_millis("ts")).first()[0] == expected
+def test_timestamps_without_a_zone_are_utc_in_every_session(spark):
+    times = [datetime(2024, 1, 1, 0, 0, 7, 179575), datetime(2024, 3, 31, 2, 30, 0, 999999), datetime(1969, 12, 31, 23, 59, 58, 500)]
+    expected = [int(t.replace(tzinfo=timezone.utc).timestamp() * 1000 // 1) for t in times]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.select(scalars.epoch_millis("ts")).collect()] == expected
+            zoned = spark.range(1).select(F.timestamp_millis(F.lit(BASE)).alias("ts"))
+            assert zoned.select(scalars.epoch_millis("ts")).first()[0] == BASE
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert "unix_millis" not in plan_of(df.select(scalars.epoch_millis("ts").alias("ms")))
 
 
 def test_random_values_cover_the_unsigned_range(spark):
