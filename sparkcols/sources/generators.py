@@ -18,8 +18,8 @@ AMOUNT_LIMIT = 1000
 QUANTITY_LIMIT = 100
 SEED = 42
 
-# Parts and actions that make up the event names.
-PARTS = [
+# Components and actions that make up the event names.
+COMPONENTS = [
     "button", "link", "icon", "card", "row", "cell", "chip", "tag", "avatar", "logo",
     "modal", "dialog", "tooltip", "popover", "toast", "sidebar", "navbar", "toolbar", "breadcrumb", "tab",
     "accordion", "carousel", "slider", "switch", "checkbox", "radio", "dropdown", "datepicker", "timepicker",
@@ -33,8 +33,8 @@ ACTIONS = [
 
 
 def vocabulary(k: int) -> list[str]:
-    """The first ``k`` event names, all actions of a part before the next part."""
-    names = [f"{part}_{action}" for part in PARTS for action in ACTIONS]
+    """The first ``k`` event names, all actions of a component before the next component."""
+    names = [f"{component}_{action}" for component in COMPONENTS for action in ACTIONS]
     if not 0 < k <= len(names):
         raise ValueError(f"k must be 1..{len(names)}")
     return names[:k]

@@ -53,12 +53,39 @@ def test_group_on_codes_equals_group_on_values(words):
     assert same(counts, words.groupBy("word").agg(F.count("*").alias("n")))
 
 
-def test_empty_and_all_null_columns(spark):
+def test_empty_and_all_null_columns(spark, limit):
     for rows in ([], [(1, None)]):
         df = spark.createDataFrame(rows, "id long, word string")
-        codes, entries = dictionary.dict_encode(df, "word")
+        codes, entries = dictionary.dict_encode(df, "word", limit)
         assert entries.count() == 0
-        assert same(dictionary.dict_decode(codes, entries), df)
+        assert same(dictionary.dict_decode(codes, entries, limit), df)
+
+
+def test_no_hot_key_at_all(spark, limit):
+    df = spark.range(500).select("id", F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    codes, entries = dictionary.dict_encode(df, "word", limit)
+    assert entries.count() == 500
+    assert same(dictionary.dict_decode(codes, entries, limit), df)
+
+
+def test_hot_keys_of_long_text_stay_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 3_000)
+    text = F.when(F.col("id") % 2 == 0, F.repeat(F.lit("a"), 2_000)).when(F.col("id") % 4 == 1, F.repeat(F.lit("b"), 2_000))
+    df = spark.range(1_000).select(F.coalesce(text, F.lit("c")).alias("k"))
+    assert [r.k[0] for r in joins._hot_keys(df, ["k"]).collect()] == ["a"]
+
+
+def test_keys_of_two_columns(spark, limit):
+    df = spark.range(900).select("id", (F.col("id") % 3).alias("a"), F.when(F.col("id") % 7 != 0, F.col("id") % 2).alias("b"))
+    lookup = df.dropna().groupBy("a", "b").agg(F.max("id").alias("last")).where("a < 2")
+    for how in ("left", "inner"):
+        assert same(joins.lookup_join(df, lookup, ["a", "b"], how, limit).select("id", "last"),
+                    df.join(lookup, ["a", "b"], how).select("id", "last"))
+
+
+def test_the_name_code_is_reserved(spark):
+    with pytest.raises(ValueError):
+        dictionary.dict_encode(spark.createDataFrame([("a", 1)], "word string, code int"), "word")
 
 
 def test_lookup_join_equals_a_plain_join(words, limit):
