@@ -14,7 +14,9 @@ def sorted_layout(df: DataFrame, keys: list[str], path: str, files: int | None =
 
     Files then cover disjoint key ranges, so equality, ``IN`` and range
     predicates skip all but a few row groups by their minimum and maximum. End
-    ``keys`` in a unique column: a run of one hot value can then be split.
+    ``keys`` in a unique column: a run of one hot value can then be split. The
+    range exchange evaluates ``df`` twice, first for a sample of the keys, so a
+    costly ``df`` is better staged before.
     """
     ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
