@@ -1,0 +1,108 @@
+"""Groups of linked items: candidates from shared keys, exact Jaccard checks, distributed union-find."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkcols.session import staged
+
+#: rounds in which every item is compared with one leader of each of its keys, before the rest is compared pairwise
+LEADER_ROUNDS = 2
+
+
+def union_find(links: DataFrame) -> DataFrame:
+    """``id``, ``root`` of every item of the links (a, b): the smallest item that it reaches.
+
+    Alternates hooking all larger neighbours to the smallest one with hooking
+    all smaller neighbours to it, until every link leads to a root. Each round
+    is written to the shared folder; only its size and sum reach the driver.
+    """
+    edges = staged(
+        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
+    )
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # written, so that the join with a hub's many links has two plain exchanges, which adaptive execution can split
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        hooked = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = staged(hooked.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "hooks")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their sets."""
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return (
+        pairs.join(left, "a")
+        .join(right, "b")
+        .where(100 * both >= percent * (F.size("x") + F.size("y") - both))
+        .select("a", "b")
+    )
+
+
+def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
+    """``id``, ``root`` of all items that have a link; others are not listed.
+
+    ``postings`` (key, id, size, need) lists under which keys an item is found;
+    two items are candidates if they share at least the smaller ``need`` of
+    theirs. ``sets_of(ids)`` gives (id, items) of a table of ids.
+
+    A group of n near copies has n * n / 2 candidate pairs but needs n - 1
+    links. So each key first compares its items with one leader, and pairs that
+    are connected by then are left out: they can't change the result. What is
+    still apart after some rounds is compared pairwise.
+    """
+    shared = staged(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    posts = staged(postings.join(shared, "key"), "postings")
+    sets = staged(sets_of(posts.select("id").distinct()), "sets")
+    links = None
+    roots = None
+    for turn in range(LEADER_ROUNDS + 1):
+        if roots is None:
+            rooted = posts.withColumn("root", F.col("id"))
+        else:
+            rooted = posts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        apart = rooted.groupBy("key").agg(
+            F.min("root").alias("lo"),
+            F.max("root").alias("hi"),
+            F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "size", "root")).alias("lead"),
+        )
+        apart = staged(apart.where("lo <> hi"), "apart")
+        if turn < LEADER_ROUNDS:
+            pairs = (
+                rooted.join(apart, "key")
+                .where((F.col("root") != F.col("lead.root")) & close(F.col("size"), F.col("lead.size"), percent))
+                .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+                .distinct()
+            )
+        else:
+            rest = rooted.join(apart.select("key"), "key").select("key", "id", "size", "need", "root")
+            x, y = rest.alias("x"), rest.alias("y")
+            pairs = (
+                x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
+                .where(close(F.col("x.size"), F.col("y.size"), percent))
+                .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+                .agg(F.count("*").alias("n"), F.first(F.least("x.need", "y.need")).alias("need"))
+                .where("n >= need")
+                .select("a", "b")
+            )
+        found = verified(pairs, sets, percent)
+        links = staged(found if links is None else links.unionByName(found), "found")
+        roots = staged(union_find(links), "roots")
+    return roots
+
+
+def close(a, b, percent: int):
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)

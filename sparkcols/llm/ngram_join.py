@@ -1,0 +1,165 @@
+"""N-gram Jaccard join with adaptive multi-match prefixes.
+
+Shingles are ordered from rare to frequent. Two sets of the wanted similarity
+share at least l shingles of their l-prefixes, the first n - ceil(t * n) + l
+ones. A longer prefix costs more postings but asks for more matches; each
+document takes the l with the least estimated cost, and a pair has to share
+the smaller l of the two, because a shorter prefix is part of a longer one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkcols.llm.grouping import linked
+from sparkcols.llm.shipping import map_arrow
+from sparkcols.llm.textarrays import mix, shingle_sets
+from sparkcols.session import staged
+
+#: frequencies are kept for hashed buckets, 2 ** this many: a table of fixed size, used only to order shingles
+FREQUENCY_BITS = 18
+#: the most matches that a prefix is lengthened for, and the cost of checking one candidate's shingle in postings
+MOST_MATCHES, CHECK_COST = 4, 0.05
+
+
+def bucket(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+
+
+def list_of(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def digests(docs: DataFrame, width: int) -> DataFrame:
+    """``id``, size of the set and two 64-bit digests of it for every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, one, two = [], [], []
+            for tokens in shingle_sets(batch.column(1), width):
+                sizes.append(len(tokens))
+                one.append(int(mix(tokens).sum(dtype=np.uint64).view(np.int64)))
+                two.append(int(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
+                ["id", "size", "one", "two"],
+            )
+
+    return map_arrow(docs, run, "id long, size long, one long, two long")
+
+
+def frequencies(docs: DataFrame, width: int) -> np.ndarray:
+    """How many documents' shingles fall in each bucket, counted over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FREQUENCY_BITS, np.int64)
+        for batch in batches:
+            for tokens in shingle_sets(batch.column(1), width):
+                np.add.at(total, bucket(tokens), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    counted = map_arrow(docs, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = counted.toPandas()
+    table = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    table[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return table
+
+
+def prefix(tokens: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
+    """The prefix of least estimated cost and the matches it asks for."""
+    order = np.lexsort((tokens, counts))
+    n = len(tokens)
+    base = n - -(-percent * n // 100)
+    # expected other documents behind a shingle: what its bucket holds beyond the usual filling
+    excess = np.maximum(counts[order] - usual, 0)
+    best, cost = 1, None
+    for need in range(1, min(MOST_MATCHES, n - base) + 1):
+        reached = float(excess[: base + need].sum())
+        guess = reached + CHECK_COST * n * reached / need
+        if cost is None or guess < cost:
+            best, cost = need, guess
+    return tokens[order[: base + best]], best
+
+
+def postings(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(key, id, size, need): one row for each shingle of a document's prefix."""
+    filled = table[table > 0]
+    usual = float(np.median(filled)) * 1.5 + 1 if len(filled) else 1.0
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, needs, many = [], [], [], []
+            for tokens in shingle_sets(batch.column(1), width):
+                part, need = prefix(tokens, held.value[bucket(tokens)], usual, percent) if len(tokens) else (tokens, 1)
+                keys.append(part)
+                sizes.append(len(tokens))
+                needs.append(need)
+                many.append(len(part))
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), many)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)),
+                    pa.array(ids, pa.int64()),
+                    pa.array(np.repeat(np.array(sizes, np.int64), many)),
+                    pa.array(np.repeat(np.array(needs, np.int64), many)),
+                ],
+                ["key", "id", "size", "need"],
+            )
+
+    return map_arrow(docs, run, "key long, id long, size long, need long")
+
+
+def sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, items): the whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), list_of(list(shingle_sets(batch.column(1), width)))], ["id", "items"]
+            )
+
+    return map_arrow(docs, run, "id long, items array<long>")
+
+
+def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per row of ``df``: the key, ``n_shingles`` and ``component_id``, the smallest key that links lead to.
+
+    Documents with equal sets are one class and are compared once. Null and
+    empty texts, and texts without words, have an empty set and stay alone.
+    Rows with the same key count as one item of the first class that they are
+    in; rows without a key stay alone with a null component. Other columns are
+    not looked at.
+    """
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    seen = staged(digests(docs, width), "digests")
+    real = seen.where("id is not null and size > 0")
+    classes = staged(real.groupBy("one", "two", "size").agg(F.min("id").alias("first")), "classes")
+    heads = docs.join(classes.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    table = frequencies(docs, width)
+    roots = linked(
+        postings(heads, table, width, percent),
+        lambda ids: sets(heads.join(ids, "id", "left_semi"), width),
+        percent,
+    )
+    named = classes.join(roots.withColumnRenamed("id", "first"), "first", "left").select(
+        "one", "two", "size", F.coalesce("root", "first").alias("root")
+    )
+    return seen.join(named, ["one", "two", "size"], "left").select(
+        F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
+    )
+
+
+def one_of_each(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose key is the smallest of their group, with the columns of ``df``; rows without a key stay."""
+    lost = components(df, width, percent, text, key).where(F.col("component_id") < F.col(key)).select(key).distinct()
+    return df.join(lost, key, "left_anti").select(*df.columns)
