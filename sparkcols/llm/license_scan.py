@@ -59,30 +59,28 @@ def scan(
     )
     held = lines.select("k", "p", F.array_intersect(terms(F.col("line")), F.lit(known)).alias("t"), F.length("line").alias("n"), F.size(terms(F.col("line"))).alias("all"))
     # statistics: number of lines, and of lines with each term, over everything
-    stats = held.agg(
-        F.count("*").alias("n"), *(F.count(F.when(F.array_contains("t", w), 1)).alias(f"w{i}") for i, w in enumerate(known))
-    )
-    total, *counts = stats.first()
-    weight = {w: _idf(total, c) for w, c in zip(known, counts)}
+    total = held.count()
+    counts = {r["w"]: r["n"] for r in held.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    weight = {w: _idf(total, counts.get(w, 0)) for w in known}
     rest = max(weight.values()) if weight else 1.0  # a word of no template weighs as much as the rarest one
 
-    # only lines with a telling word can reach the cosine; the others are no candidates by the bound below
-    found = None
-    for name, notice in sorted(templates.items()):
-        own = sorted(set("".join(c if c.isalnum() else " " for c in notice.lower()).split()))
-        norm = sum(weight[w] ** 2 for w in own) ** 0.5
-        squares = lambda ws: sum((F.when(F.array_contains("t", w), weight[w] ** 2).otherwise(0.0) for w in ws), F.lit(0.0))
-        line_norm = F.sqrt(squares(known) + rest**2 * F.greatest(F.col("all") - F.size("t"), F.lit(0)))
-        cosine = F.when(F.size("t") > 0, F.round(squares(own) / (line_norm * norm), 6)).otherwise(0.0)
-        one = F.struct(cosine.alias("cosine"), F.lit(name).alias("name"))
-        found = [one] if found is None else [*found, one]
-    scored = held.where(F.size("t") >= 2).withColumn(
-        "best", F.array_max(F.transform(F.array(*found), lambda s: F.struct(s["cosine"].alias("c"), (-F.array_position(F.lit(sorted(templates)), s["name"])).alias("i"))))
-    )
+    names = sorted(templates)
+    squared = F.create_map(*(F.lit(x) for w in known for x in (w, weight[w] ** 2)))
+    squares = lambda ws: F.aggregate(ws, F.lit(0.0), lambda sum_, w: sum_ + F.element_at(squared, w))
+    rare = rest**2 * F.greatest(F.col("all") - F.size("t"), F.lit(0))
+    # a line with fewer than two of the templates' terms is no candidate
+    normed = held.where(F.size("t") >= 2).withColumn("norm", F.sqrt(squares(F.col("t")) + rare))
+    cosines = []
+    for i, name in enumerate(names):
+        own = sorted(set("".join(c if c.isalnum() else " " for c in templates[name].lower()).split()))
+        size = sum(weight[w] ** 2 for w in own) ** 0.5
+        cosine = F.round(squares(F.array_intersect("t", F.lit(own))) / (F.col("norm") * size), 6)
+        cosines.append(F.struct(cosine.alias("c"), F.lit(-i).alias("i")))
+    scored = normed.withColumn("best", F.array_max(F.array(*cosines)))
     hits = scored.where(F.col("best.c") >= HEADER).groupBy("k", "p").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
     hits = staged(
         hits.select(
-            "k", "p", F.element_at(F.lit(sorted(templates)), (-F.col("best.i")).cast("int")).alias("own"),
+            "k", "p", F.get(F.lit(names), -F.col("best.i")).alias("own"),
             F.col("best.c").alias("cosine"), "n",
         ),
         "licences",
