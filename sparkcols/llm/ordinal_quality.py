@@ -19,8 +19,8 @@ from sparkcols.llm.shipping import map_arrow
 from sparkcols.llm.textarrays import lower_ascii, pieces, span_hashes, text_buffer, word_spans
 
 #: hashed words, grades 0 .. GRADES - 1, and the bound of the fitting sample in documents and characters of each
-BITS, GRADES, SAMPLE, SAMPLE_CHARS = 16, 3, 4000, 20000
-STEPS, RATE, DECAY = 300, 0.5, 1e-4
+BITS, GRADES, SAMPLE, SAMPLE_CHARS = 16, 3, 10000, 20000
+STEPS, RATE, DECAY = 200, 0.5, 1e-4
 
 
 class Model(NamedTuple):
