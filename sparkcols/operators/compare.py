@@ -35,10 +35,11 @@ def fastest(means: DataFrame) -> DataFrame:
     """Fastest variant per op and how many times slower the slowest one is.
 
     The ratio is NULL when there is nothing to compare: a fastest time of zero,
-    or all variants equally fast. Equal times go to the first name.
+    or all variants equally fast. Equal times go to the first name. Missing times
+    don't compete; without any time the fastest is NULL.
     """
     ends = means.groupBy("op").agg(
-        F.min_by("variant", F.struct("t", "variant")).alias("fastest"),
+        F.min_by("variant", F.when(F.col("t").isNotNull(), F.struct("t", "variant"))).alias("fastest"),
         F.min("t").alias("best"),
         F.max("t").alias("worst"),
     )
@@ -56,8 +57,9 @@ def ratio_to(means: DataFrame, baseline: str, others: list[str]) -> DataFrame:
 
 
 def peak_bytes(m: DataFrame) -> DataFrame:
-    """Highest memory growth per (op, variant); a negative delta counts as none."""
-    return m.groupBy(*KEYS).agg(F.max(F.greatest(F.col("bytes"), F.lit(0))).alias("peak"))
+    """Highest memory growth per (op, variant); a negative delta counts as none, a missing one stays missing."""
+    grown = F.when(F.col("bytes").isNotNull(), F.greatest(F.col("bytes"), F.lit(0)))
+    return m.groupBy(*KEYS).agg(F.max(grown).alias("peak"))
 
 
 def memory_pivot(m: DataFrame, variants: list[str]) -> DataFrame:
