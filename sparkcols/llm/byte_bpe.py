@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from sparkcols.llm.shipping import map_arrow
 from sparkcols.llm.textarrays import pieces, ragged, text_buffer
 
-#: pre-tokens of up to so many bytes are remembered, at most so many of them in a task
-SHORT, REMEMBERED = 48, 1 << 18
+#: pre-tokens of up to so many characters are remembered, at most so many of them in a worker
+SHORT, REMEMBERED = 48, 1 << 19
 
 
 class RankQueue:
     """Positions by merge rank, lowest rank first and leftmost position first within a rank."""
 
+    __slots__ = ("buckets", "low", "mid", "top")
+
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
         self.low: dict[int, int] = {}
@@ -37,7 +39,11 @@ class RankQueue:
         self.top = 0
 
     def push(self, rank: int, at: int) -> None:
-        heappush(self.buckets.setdefault(rank, []), at)
+        bucket = self.buckets.get(rank)
+        if bucket is not None:  # its bits are set
+            heappush(bucket, at)
+            return
+        self.buckets[rank] = [at]
         a, b = rank >> 6, rank >> 12
         self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
         self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
@@ -71,27 +77,31 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     after, before = list(range(1, n + 2)), list(range(-1, n))
     pair: list[int | None] = [None] * n  # rank of the pair that starts here, as it stands
     queue = RankQueue()
-
-    def look(at: int) -> None:
-        middle = after[at]
-        pair[at] = rank = ranks.get(piece[at : after[middle]]) if middle < n else None
-        if rank is not None:
-            queue.push(rank, at)
-
+    find, push, pop = ranks.get, queue.push, queue.pop
     for at in range(n - 1):
-        look(at)
-    while queue:
-        rank, at = queue.pop()
+        rank = find(piece[at : at + 2])
+        if rank is not None:
+            pair[at] = rank
+            push(rank, at)
+    while queue.top:
+        rank, at = pop()
         if pair[at] != rank:
             continue
         gone = after[at]
         pair[gone] = None
-        after[at] = after[gone]
-        if after[at] <= n - 1:
-            before[after[at]] = at
-        look(at)
-        if before[at] >= 0:
-            look(before[at])
+        after[at] = middle = after[gone]
+        if middle < n:
+            before[middle] = at
+            pair[at] = rank = find(piece[at : after[middle]])
+            if rank is not None:
+                push(rank, at)
+        else:
+            pair[at] = None
+        left = before[at]
+        if left >= 0:
+            pair[left] = rank = find(piece[left:middle])
+            if rank is not None:
+                push(rank, left)
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -111,7 +121,13 @@ def vocabulary(ranks_file: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndar
     return ranks, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-def encode_text(text: str, find, ranks: dict[bytes, int], known: dict[str, np.ndarray]) -> np.ndarray:
+@lru_cache(maxsize=4)
+def remembered(ranks_file: bytes) -> dict[str, bytes]:
+    """Ids of short pre-tokens met so far, kept while the worker lives."""
+    return {}
+
+
+def encode_text(text: str, find, ranks: dict[bytes, int], known: dict[str, bytes]) -> np.ndarray:
     """Token ids of a text, each match of the pattern on its own."""
     parts = []
     for piece in find(text):
@@ -148,7 +164,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = vocabulary(held.value)[0]
-        find, known = regex.compile(pattern).findall, {}
+        find, known = regex.compile(pattern).findall, remembered(held.value)
         for batch in batches:
             _, offsets = text_buffer(batch.column(1))
             for a, b in pieces(offsets):
