@@ -63,6 +63,7 @@ def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
     are connected by then are left out: they can't change the result. What is
     still apart after some rounds is compared pairwise.
     """
+    postings = staged(postings, "all_postings")  # read twice, and costly to make
     shared = staged(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     posts = staged(postings.join(shared, "key"), "postings")
     sets = staged(sets_of(posts.select("id").distinct()), "sets")
