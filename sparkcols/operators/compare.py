@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparkcols.functions.scalars import readable_bytes, safe_ratio
-from sparkcols.operators.aggregates import mean_of
-from sparkcols.operators.joins import lookup_join
-from sparkcols.session import staged
+from sparkcols.operators.aggregates import total_of
 
 KEYS = ["op", "variant"]
 
@@ -15,15 +13,24 @@ KEYS = ["op", "variant"]
 def mean_after_warmup(m: DataFrame, scale: int | None = None) -> DataFrame:
     """Mean seconds per (op, variant) without the first run, as column ``t``.
 
-    The warm-up is the lowest run number of its group. It is found by a grouped
-    minimum and taken out by a join with one row per group, so no group is ever
-    held or sorted in one task. A group with one run only has no mean and is
-    left out.
+    The warm-up is the one row with the lowest run number of its group: a
+    missing number comes last, and of equal ones the least time is taken. One
+    pass keeps sum, count and that row per group, so no group is ever held or
+    sorted in one task. Missing times don't count; a group with one row only
+    has no mean and is left out. Without ``scale`` the warm-up is subtracted
+    from a sum of doubles, which costs digits when it dwarfs all other runs.
     """
-    first = staged(m.groupBy(*KEYS).agg(F.min("run").alias("first_run")), "first_runs")
-    rows = lookup_join(m, first, KEYS, "inner")
-    timed = rows.where(F.col("run") > F.col("first_run"))
-    return timed.groupBy(*KEYS).agg(mean_of("seconds", scale).alias("t"))
+    ends = m.groupBy(*KEYS).agg(
+        total_of("seconds", scale).alias("total"),
+        F.count("seconds").alias("timed"),
+        F.count("*").alias("n"),
+        F.min(F.struct(F.col("run").isNull(), "run", F.col("seconds").isNull(), "seconds"))["seconds"].alias("first"),
+    )
+    rest = F.col("total") - F.coalesce("first", F.lit(0.0))
+    if scale is not None:
+        rest = F.rint(rest * F.lit(10.0**scale)) / F.lit(10.0**scale)
+    others = F.col("timed") - F.when(F.col("first").isNotNull(), 1).otherwise(0)
+    return ends.where("n > 1").select(*KEYS, F.when(others > 0, rest / others).alias("t"))
 
 
 def comparison_pivot(means: DataFrame, variants: list[str]) -> DataFrame:

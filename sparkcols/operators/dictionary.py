@@ -8,11 +8,10 @@ from sparkcols.operators.joins import BROADCAST_BYTES, fits_broadcast, lookup_jo
 from sparkcols.operators.ordering import with_row_number
 from sparkcols.session import staged
 
-MAX_INT = 2**31 - 1
 LITERAL_CODES = 1000
 
 
-def _ranked(df: DataFrame, column: str, limit: int) -> tuple[DataFrame, bool]:
+def _ranked(df: DataFrame, column: str, limit: int, code_type: str) -> tuple[DataFrame, bool]:
     """The dictionary of a column and whether it was measured to be within ``limit`` bytes."""
     if "code" in df.columns:
         raise ValueError("the coded table needs the column name 'code' for itself")
@@ -20,24 +19,26 @@ def _ranked(df: DataFrame, column: str, limit: int) -> tuple[DataFrame, bool]:
     small = fits_broadcast(values, limit)
     if small:
         code = F.row_number().over(Window.orderBy(column))
-        return staged(values.select(code.alias("code"), column), "dictionary"), True
+        return staged(values.select(code.cast(code_type).alias("code"), column), "dictionary"), True
     ranked = with_row_number(values, [column], "code")
-    kind = "int" if values.count() <= MAX_INT else "long"
-    return staged(ranked.select(F.col("code").cast(kind).alias("code"), column), "dictionary"), False
+    return staged(ranked.select(F.col("code").cast(code_type).alias("code"), column), "dictionary"), False
 
 
-def build_dictionary(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+def build_dictionary(df: DataFrame, column: str, limit: int = BROADCAST_BYTES, code_type: str = "int") -> DataFrame:
     """Table of (``code``, ``column``), codes dense from 1 in the order of the values.
 
+    More values than ``code_type`` holds stop the job.
+
     Only distinct values are ranked: in one sort while they are within
     ``limit`` bytes, else by range partitions, so any number of values works.
     """
-    return _ranked(df, column, limit)[0]
+    return _ranked(df, column, limit, code_type)[0]
 
 
-def dict_encode(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+def dict_encode(df: DataFrame, column: str, limit: int = BROADCAST_BYTES,
+                code_type: str = "int") -> tuple[DataFrame, DataFrame]:
     """The rows with ``column`` replaced by ``code``, and the dictionary. NULL stays NULL."""
-    dictionary, small = _ranked(df, column, limit)
+    dictionary, small = _ranked(df, column, limit, code_type)
     coded = lookup_join(df, dictionary, column, "left", limit, small)
     return coded.select(*[F.col("code") if c == column else F.col(c) for c in df.columns]), dictionary
 
@@ -58,9 +59,14 @@ def dict_filter(codes: DataFrame, dictionary: DataFrame, predicate: Column, limi
     """
     matching = dictionary.where(predicate).select("code")
     found = [r["code"] for r in matching.limit(literals + 1).collect()]
+    # NULL has no entry, so the predicate is asked once for it
+    nothing = codes.sparkSession.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in dictionary.dtypes))
+    takes_null = nothing.where(predicate).count() > 0
     if len(found) <= literals:
-        return codes.where(F.col("code").isin(found))
-    return lookup_join(codes, matching, "code", "left_semi", limit)
+        listed = F.col("code").isin(found)
+        return codes.where(listed | F.col("code").isNull() if takes_null else listed)
+    kept = lookup_join(codes, matching, "code", "left_semi", limit)
+    return kept.unionByName(codes.where(F.col("code").isNull()).select(*kept.columns)) if takes_null else kept
 
 
 def dict_group_count(codes: DataFrame, dictionary: DataFrame) -> DataFrame:

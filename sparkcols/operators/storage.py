@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sparkcols.functions.scalars import readable_bytes
@@ -48,25 +50,23 @@ def table_size(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), total.cast("long").alias("bytes"))
 
 
-def stored_bytes(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """Compressed bytes per table from file sizes; no file content is read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(list(folders.values()))
-        .select("path", "length")
-    )
-    table = F.lit(None).cast("string")
-    for name, folder in folders.items():
-        root = folder.split(":", 1)[-1].lstrip("/").rstrip("/")
-        inside = F.col("path").contains(f"/{root}/") | F.col("path").endswith(f"/{root}")
-        table = F.when(inside, F.lit(name)).otherwise(table)
-    return (
-        files.groupBy(table.alias("table"))
-        .agg(F.sum("length").alias("bytes"))
-        .withColumn("readable", readable_bytes("bytes"))
+def stored_bytes(spark: SparkSession, folders: dict[str, str], pattern: str = "*") -> DataFrame:
+    """Compressed bytes per table from file sizes; no file content is read.
+
+    Every data file counts whose name matches ``pattern``; names that begin
+    with ``_`` or ``.`` are no data. An empty folder has 0 bytes, and a folder
+    inside another one counts for both.
+    """
+    reader = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     )
+    sizes = [
+        reader.load(folder)
+        .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+        .select(F.lit(name).alias("table"), "bytes")
+        for name, folder in folders.items()
+    ]
+    return reduce(DataFrame.unionByName, sizes).withColumn("readable", readable_bytes("bytes"))
 
 
 def encoding_report(df: DataFrame, column: str) -> DataFrame:

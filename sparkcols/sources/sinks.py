@@ -18,9 +18,12 @@ def sink_noop(df: DataFrame) -> None:
 
 
 def create_table(spark: SparkSession, name: str, schema: T.StructType, path: str | None = None) -> DataFrame:
-    """An empty Parquet table with declared columns; an existing one is replaced."""
+    """An empty Parquet table with declared columns; an existing one is replaced, and the folder ``path`` is emptied."""
     drop_table(spark, name)
-    return spark.catalog.createTable(name, source="parquet", schema=schema, path=path)
+    table = spark.catalog.createTable(name, source="parquet", schema=schema, path=path)
+    if path:  # dropping a table leaves the files at a path of its own
+        spark.createDataFrame([], schema).write.insertInto(name, overwrite=True)
+    return table
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
