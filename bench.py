@@ -24,7 +24,7 @@ HEADLINE = [
     "dict_encode", "dict_filter_count", "dict_group_count", "encoding_report",
     # keys
     "point_lookup_long", "range_count_long", "top_desc_long", "page_long", "multi_lookup_long", "group_near_unique",
-    "join_count_tables", "join_count_large", "snowflake_id", "uuid_v7",
+    "join_count_tables", "join_count_large", "timed_id", "uuid_v7",
     # reports
     "mean_after_warmup", "fastest",
 ]

@@ -114,7 +114,7 @@ def id_suite(spark: SparkSession, clock: Clock, rows: int) -> dict[str, str]:
     start = F.timestamp_millis(F.floor(F.col("id") / 50) + 1_700_000_000_000)
     base = staged(generators.gen_values(spark, rows).withColumn("ts", start), "values")
     sources = {
-        "long": lambda: ids.snowflake_id(base, "ts", F.col("id") % 8, "id").select(F.col("sid").alias("id"), "value"),
+        "long": lambda: ids.timed_id(base, "ts", F.col("id") % 8, "id").select(F.col("sid").alias("id"), "value"),
         "uuid": lambda: base.select(scalars.uuid_v7("ts", "id").alias("id"), "value"),
         "text": lambda: base.select(scalars.id_text(scalars.uuid_v7("ts", "id")).alias("id"), "value"),
     }

@@ -14,7 +14,7 @@ MACHINE_BITS = 10
 SEQUENCE_BITS = 12
 
 
-def snowflake_id(
+def timed_id(
     df: DataFrame,
     ts: str,
     machine: Column,

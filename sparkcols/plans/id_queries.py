@@ -106,7 +106,7 @@ def join_count_large(spark, sf_dir):
     return joins.join_count(fact, lookup, "l_orderkey", "o_orderkey", limit=0)
 
 
-def _snowflake_sql(machine: str, tick: str, bits: int) -> str:
+def _timed_sql(machine: str, tick: str, bits: int) -> str:
     return f"""WITH e AS (SELECT event_id, {machine} AS m, {tick} AS tick FROM events),
         p AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY tick, event_id) - 1 AS rn FROM e),
         s AS (SELECT *, rn + max(tick * {2**bits} - rn) OVER (PARTITION BY m ORDER BY tick, event_id
@@ -114,18 +114,18 @@ def _snowflake_sql(machine: str, tick: str, bits: int) -> str:
         SELECT event_id, ((slot >> {bits}) << {bits + 10}) | (m << {bits}) | (slot & {2**bits - 1}) AS sid FROM s"""
 
 
-@query(_snowflake_sql("user_id % 1024", "epoch_us(ts) // 1000", 12))
-def snowflake_id(spark, sf_dir):
-    return ids.snowflake_id(events(spark, sf_dir).select("event_id", "ts", "user_id"), "ts", F.col("user_id"),
+@query(_timed_sql("user_id % 1024", "epoch_us(ts) // 1000", 12))
+def timed_id(spark, sf_dir):
+    return ids.timed_id(events(spark, sf_dir).select("event_id", "ts", "user_id"), "ts", F.col("user_id"),
                             "event_id").select("event_id", "sid")
 
 
-@query(_snowflake_sql("user_id % 4", "epoch_us(ts) // 86400000000", 6))
-def snowflake_id_overflow(spark, sf_dir):
+@query(_timed_sql("user_id % 4", "epoch_us(ts) // 86400000000", 6))
+def timed_id_overflow(spark, sf_dir):
     """Four machines and 64 slots a day: full days run over into the next ones."""
     day = F.floor(scalars.epoch_millis("ts") / 86_400_000)
     rows = events(spark, sf_dir).select("event_id", "ts", "user_id")
-    return ids.snowflake_id(rows, "ts", F.col("user_id") % 4, "event_id", seq_bits=6, tick=day).select("event_id", "sid")
+    return ids.timed_id(rows, "ts", F.col("user_id") % 4, "event_id", seq_bits=6, tick=day).select("event_id", "sid")
 
 
 @query(UUID_SQL)

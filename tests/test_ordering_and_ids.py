@@ -32,7 +32,7 @@ def slots_by_hand(rows, seq_bits):
 
 
 @pytest.mark.parametrize("seq_bits", [2, 4, 12])
-def test_snowflake_equals_the_sequential_walk(spark, seq_bits):
+def test_timed_id_equals_the_sequential_walk(spark, seq_bits):
     draw = random.Random(seq_bits)
     # one machine holds a third of the rows, and a third of those share a millisecond
     rows = []
@@ -40,15 +40,15 @@ def test_snowflake_equals_the_sequential_walk(spark, seq_bits):
         machine = 7 if i % 3 == 0 else draw.randrange(40)
         ms = 500 if i % 9 == 0 else draw.randrange(1500)
         rows.append((i, machine, ms))
-    got = ids.snowflake_id(events_at(spark, rows), "ts", F.col("machine"), "id", seq_bits=seq_bits)
+    got = ids.timed_id(events_at(spark, rows), "ts", F.col("machine"), "id", seq_bits=seq_bits)
     got = {r.id: r.sid for r in got.collect()}
     assert got == slots_by_hand(rows, seq_bits)
     assert len(set(got.values())) == len(rows)
 
 
-def test_snowflake_fields_and_order(spark):
+def test_timed_id_fields_and_order(spark):
     rows = [(i, i % 3, i * 2) for i in range(600)]
-    df = ids.snowflake_id(events_at(spark, rows), "ts", F.col("machine"), "id")
+    df = ids.timed_id(events_at(spark, rows), "ts", F.col("machine"), "id")
     out = df.select("id", "machine", "ms", "sid").collect()
     for r in out:
         assert r.sid >> 22 == BASE + r.ms and (r.sid >> 12) & 1023 == r.machine and r.sid & 4095 == 0
@@ -57,9 +57,9 @@ def test_snowflake_fields_and_order(spark):
         assert [r.sid for r in mine] == sorted(r.sid for r in mine)
 
 
-def test_snowflake_without_time_or_machine(spark):
+def test_timed_id_without_time_or_machine(spark):
     rows = [(1, 1, 5), (2, None, 5), (3, 1, None), (4, 1, 5)]
-    got = {r.id: r.sid for r in ids.snowflake_id(events_at(spark, rows), "ts", F.col("machine"), "id").collect()}
+    got = {r.id: r.sid for r in ids.timed_id(events_at(spark, rows), "ts", F.col("machine"), "id").collect()}
     assert got[2] is None and got[3] is None
     assert got[4] > got[1]
 
@@ -72,9 +72,9 @@ def fixed_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_snowflake_window_runs_on_range_partitions(spark, fixed_partitions):
+def test_timed_id_window_runs_on_range_partitions(spark, fixed_partitions):
     rows = events_at(spark, [(i, 1, i) for i in range(100)])
-    df = ids.snowflake_id(rows, "ts", F.col("machine"), "id", seq_bits=1, tick=F.floor(F.col("ms") / 7) + BASE)
+    df = ids.timed_id(rows, "ts", F.col("machine"), "id", seq_bits=1, tick=F.floor(F.col("ms") / 7) + BASE)
     plan = plan_of(df)
     assert "shufflepartitionidpassthrough" in plan
     assert plan.count("hashpartitioning(_part") == 1  # of the summary rows only
@@ -82,10 +82,10 @@ def test_snowflake_window_runs_on_range_partitions(spark, fixed_partitions):
 
 
 @pytest.mark.parametrize("seq_bits", [1, 3])
-def test_snowflake_carries_over_many_partitions(spark, fixed_partitions, seq_bits):
+def test_timed_id_carries_over_many_partitions(spark, fixed_partitions, seq_bits):
     draw = random.Random(9)
     rows = [(i, 5 if i % 3 else i % 2, draw.randrange(200)) for i in range(2000)]
-    got = ids.snowflake_id(events_at(spark, rows), "ts", F.col("machine"), "id", seq_bits=seq_bits)
+    got = ids.timed_id(events_at(spark, rows), "ts", F.col("machine"), "id", seq_bits=seq_bits)
     assert {r.id: r.sid for r in got.collect()} == slots_by_hand(rows, seq_bits)
 
 
