@@ -266,3 +266,42 @@ def test_ordinal_quality(spark):
     assert all(r.p_1 >= r.p_2 for r in got.values())
     empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert ordinal_quality.score(empty, ordinal_quality.fit(empty, labels.limit(0))).count() == 2
+
+
+def test_license_scan_kinds_headers_and_full_texts(spark):
+    from sparkcols.llm.licences import BSD2, BSD3, MIT, text
+
+    wrap = lambda parts: "\n\n".join(re.sub(r"(.{40,70}) ", r"\1\n", p) for p in parts)
+    header = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful, but
+# WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY.
+
+import os
+print(os.getcwd())"""
+    texts = {
+        "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+        "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+        "GPL-2.0": "This work is licensed under the GNU GPL, version 2.",
+        "LGPL-3.0": "This work is licensed under the GNU Lesser GPL, version 3.",
+        "MIT": "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrap(MIT),
+        "BSD-2-Clause": "Copyright 2020 Some One\n\n" + wrap(BSD2),
+        "BSD-3-Clause": "/* " + wrap(BSD3) + " */\n\nint main(void) { return 0; }\n\nint other(void) { return elsewhere(); }",
+        "ISC": "# SPDX-License-Identifier: ISC\nprint('hello')",
+        "GPL-3.0": header.format(3),
+        "MPL-2.0": text("MPL-2.0"),
+        "LGPL-2.1": text("LGPL-2.1"),
+        "Apache-2.0": text("Apache-2.0"),
+        "Apache-1.1": "Licensed under the Apache License, Version 1.1",
+        "GPL": "This work is licensed under the GNU General Public License",
+        "GPL-2.0/GPL-3.0": header.format(2) + "\n\nThis work is licensed under the GNU General Public License, version 3",
+    }
+    plain = [f"row {i} of {w} and the rest of it, with more words" for i, w in enumerate(["code", "prose", "tables", "notes"] * 10)]
+    rows = [(name, t, f"d{i}/LICENSE") for i, (name, t) in enumerate(texts.items())] + [(None, t, f"e/{i}") for i, t in enumerate(plain)]
+    df = spark.createDataFrame(rows, "name string, text string, path string")
+    got = license_scan.scan(df, key="name").collect()
+    assert {r.name: r.own_license for r in got if r.name} == {n: n for n in texts}
+    assert all(r.own_license is None for r in got if not r.name)
