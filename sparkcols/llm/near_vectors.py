@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product: multiprobe p-stable hashing with exact reranking.
 
-Candidates are scaled by the largest length and lifted by one component to the
-unit sphere, queries are scaled to it, so that a larger inner product is a
-smaller distance. In each table a vector lies in the cell of its rounded-down
+Candidates are hashed in bands of length: each is scaled by the largest length
+of its band and lifted by one component to the unit sphere, queries are scaled
+to it, so that in a band a larger inner product is a smaller distance. In each table a vector lies in the cell of its rounded-down
 Gaussian projections. A query visits the cells around its own in the order of
 their estimated success: the smaller the squared distances to the boundaries
-that a shift crosses, the sooner. Scores are taken on the original vectors.
+that a shift crosses, the sooner. It visits them in every band. A query that
+finds fewer than k rows so is compared with all candidates. Scores are taken on
+the original vectors.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from sparkcols.session import staged
 
 #: tables, projections of each, width of a cell on the unit sphere, cells that a query visits in each table
 TABLES, PROJECTIONS, WIDTH, PROBES = 4, 4, 1.5, 24
+#: lengths of a band: up to 2 ** BAND times its shortest
+BAND = 0.25
 #: rows of a cell that one task compares at a time, on either side
 MEMBERS, ASKERS = 4096, 1024
 SHIFTS = np.array(list(product((-1, 0, 1), repeat=PROJECTIONS)))
@@ -43,8 +47,11 @@ def cell_keys(lifted: np.ndarray, number: int, probes: int) -> np.ndarray:
     return (visited + 2048) @ weights
 
 
-def hashed(rows: DataFrame, longest: float, probes: int) -> DataFrame:
-    """(id, vec, dim, number, key): a row for each table and visited cell. ``longest`` 0 scales each vector to length 1."""
+def hashed(rows: DataFrame, probes: int) -> DataFrame:
+    """(id, vec, band, dim, number, key): a row for each table and visited cell of ``rows`` (id, vec, band, longest).
+
+    A vector is scaled by ``longest``, and to length 1 where that is 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,8 +63,9 @@ def hashed(rows: DataFrame, longest: float, probes: int) -> DataFrame:
                     vectors = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
                     peak = np.abs(vectors).max(1, keepdims=True)
                     length = peak * np.sqrt(((vectors / peak) ** 2).sum(1, keepdims=True))
-                    share = vectors / (longest or length)
-                    lift = np.sqrt(np.maximum(1 - (share**2).sum(1), 0)) if longest else np.zeros(len(share))
+                    longest = own.column(3).to_numpy(zero_copy_only=False)[:, None]
+                    share = vectors / np.where(longest > 0, longest, length)
+                    lift = np.where(longest[:, 0] > 0, np.sqrt(np.maximum(1 - (share**2).sum(1), 0)), 0)
                     lifted = np.column_stack([share, lift])
                     for number in range(TABLES):
                         keys = cell_keys(lifted, number, probes)
@@ -67,15 +75,16 @@ def hashed(rows: DataFrame, longest: float, probes: int) -> DataFrame:
                             [
                                 again.column(0),
                                 again.column(1),
+                                again.column(2),
                                 pa.array(np.full(n, dim, np.int32)),
                                 pa.array(np.full(n, number, np.int32)),
                                 pa.array(keys.ravel()),
                             ],
-                            ["id", "vec", "dim", "number", "key"],
+                            ["id", "vec", "band", "dim", "number", "key"],
                         )
 
     kind = rows.schema["vec"].dataType.simpleString()
-    return map_arrow(rows, run, f"id long, vec {kind}, dim int, number int, key long")
+    return map_arrow(rows, run, f"id long, vec {kind}, band int, dim int, number int, key long")
 
 
 def products(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
@@ -121,24 +130,30 @@ def search(df: DataFrame, asks: Column, k: int = 20, key: str = "vec_id", vector
     rows = df.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"), F.coalesce(asks, F.lit(False)).alias("asks")
     )
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    longest = rows.agg(F.max(F.sqrt(square))).first()[0] or 1.0
-    members = staged(hashed(rows.select("id", "vec"), float(longest), 1), "members")
-    queries = staged(hashed(rows.where("asks").select("id", "vec"), 0.0, PROBES), "queries")
+    # a repeated key and vector would take the place of another row among a block's k best
+    rows = rows.groupBy("id", "vec").agg(F.max("asks").alias("asks"))
+    size = F.aggregate("vec", F.lit(0.0), lambda s, x: F.hypot(s, x.cast("double")))
+    rows = rows.withColumn("length", size).withColumn("band", F.floor(F.log2("length") / BAND).cast("int"))
+    rows = staged(rows.withColumn("dim", F.size("vec")), "vectors")
+    # a row for each band of lengths, at most some thousand
+    bands = rows.groupBy("dim", "band").agg(F.max("length").alias("longest"))
+    banded = rows.join(F.broadcast(bands), ["dim", "band"])
+    asking = rows.where("asks").select("id", "vec", "band", F.lit(0.0).alias("longest"))
+    members = staged(hashed(banded.select("id", "vec", "band", "longest"), 1), "members")
+    queries = staged(hashed(asking, PROBES).drop("band"), "queries")
     place = ["dim", "number", "key"]
-    sizes = members.groupBy(*place).agg(F.count("*").alias("n"))
+    sizes = members.groupBy("band", *place).agg(F.count("*").alias("n"))
     asked = queries.groupBy(*place).agg(F.count("*").alias("m"))
     blocks = staged(
         sizes.join(asked, place).select(
-            *place, F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"), F.ceil(F.col("m") / ASKERS).cast("int").alias("turns")
+            "band", *place, F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"), F.ceil(F.col("m") / ASKERS).cast("int").alias("turns")
         ),
         "blocks",
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = queries.join(blocks, place).withColumn("turn", some("turns")).withColumn("part", every("parts"))
-    right = members.join(blocks, place).withColumn("part", some("parts")).withColumn("turn", every("turns"))
-    group = [*place, "part", "turn"]
+    right = members.join(blocks, ["band", *place]).withColumn("part", some("parts")).withColumn("turn", every("turns"))
     ship(df.sparkSession)
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
@@ -148,15 +163,30 @@ def search(df: DataFrame, asks: Column, k: int = 20, key: str = "vec_id", vector
         ids, own = two["id"].to_numpy(), one["id"].to_numpy()
         x, y = np.stack(one["vec"].to_numpy()).astype(float), np.stack(two["vec"].to_numpy()).astype(float)
         scores = products(x, y)
-        r, c = best(scores, ids, own, k)
+        # ids with several vectors take several places
+        r, c = best(scores, ids, own, k * int(np.unique(ids, return_counts=True)[1].max()))
         return pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": scores[r, c]})
 
-    found = (
-        left.select("id", "vec", *group)
-        .groupBy(*group)
-        .cogroup(right.select("id", "vec", *group).groupBy(*group))
-        .applyInPandas(compare, "query_id long, vec_id long, score double")
-    )
+    def compared(asking: DataFrame, held: DataFrame, group: list[str]) -> DataFrame:
+        pairs = (
+            asking.select("id", "vec", *group)
+            .groupBy(*group)
+            .cogroup(held.select("id", "vec", *group).groupBy(*group))
+            .applyInPandas(compare, "query_id long, vec_id long, score double")
+        )
+        return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    found = staged(compared(left, right, ["band", *place, "part", "turn"]), "near-vectors")
+    # queries that found fewer than k rows are compared with all candidates, block by block
+    many = found.groupBy("query_id").agg(F.count("*").alias("hits"))
+    short = rows.where("asks").join(many, F.col("id") == F.col("query_id"), "left").where(F.coalesce("hits", F.lit(0)) < k)
+    short = staged(short.select("id", "vec", "dim"), "short-queries")
+    all_sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    all_blocks = short.groupBy("dim").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("turns")).join(all_sizes, "dim")
+    all_blocks = F.broadcast(staged(all_blocks, "all-blocks"))
+    left = short.join(all_blocks, "dim").withColumn("turn", some("turns")).withColumn("part", every("parts"))
+    right = rows.join(all_blocks, "dim").withColumn("part", some("parts")).withColumn("turn", every("turns"))
+    found = found.unionByName(compared(left, right, ["dim", "part", "turn"]))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
