@@ -12,6 +12,7 @@ from the weights alone.
 from __future__ import annotations
 
 import heapq
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,24 @@ def slot_of(stream: Column, block: Column, weights: dict[str, int]) -> Column:
     return found.cast("long")
 
 
+def every_source(df: DataFrame, weights: dict[str, int], source: str) -> tuple[dict[str, int], str]:
+    """Weights of all sources found and of null, and the stream name of null.
+
+    Named sources keep their share; the share of ``OTHERS`` is dealt equally to
+    all others that are found. One row per source reaches the driver.
+    """
+    found = [r[0] for r in df.select(F.col(source).cast("string")).distinct().collect()]
+    null = "(null)"
+    while null in found or null in weights:
+        null = f"({null})"
+    named = {s: u for s, u in weights.items() if s != OTHERS and u > 0}
+    rest = sorted({null if s is None else s for s in found} - set(named))
+    if not rest:
+        return named or {null: 1}, null
+    times = len(rest) // gcd(len(rest), weights[OTHERS])
+    return {s: u * times for s, u in named.items()} | {s: weights[OTHERS] * times // len(rest) for s in rest}, null
+
+
 def schedule(
     df: DataFrame,
     weights: dict[str, int] = WEIGHTS,
@@ -63,6 +82,7 @@ def schedule(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    each: bool = False,
 ) -> DataFrame:
     """``df`` with ``mix_stream``, ``mix_mark``, ``mix_block`` and ``mix_slot``; sort by slot, mark and key to read it.
 
@@ -74,18 +94,27 @@ def schedule(
     No row is dropped: when a stream ends, its slots stay empty. Null or unknown
     sources belong to ``OTHERS``; null and empty texts have length 0; repeated
     rows follow each other. Input columns named like the four are refused.
+
+    With ``each`` there is no common stream: every source of the input without
+    a weight, and null, has a stream of its own with an equal share of that of
+    ``OTHERS``. The period then has a slot for each unit of up to that many times
+    the weights; its table is made on the driver.
     """
-    clash = {"mix_stream", "mix_mark", "mix_block", "mix_slot", "mix_bucket", "mix_base"} & set(df.columns)
+    clash = {"mix_stream", "mix_mark", "mix_block", "mix_slot", "mix_bucket", "mix_base", "mix_units", "mix_turn", "mix_first"} & set(df.columns)
     if clash:
         raise ValueError(f"input has the columns {sorted(clash)}")
     if any(u < 0 for u in weights.values()) or weights.get(OTHERS, 0) < 1:
         raise ValueError(f"weights are whole numbers, and {OTHERS!r} needs one of at least 1")
     named = [s for s in weights if s != OTHERS and weights[s] > 0]
+    stream = F.when(F.col(source).isin(*named), F.col(source)).otherwise(F.lit(OTHERS))
+    if each:
+        weights, null = every_source(df, weights, source)
+        stream = F.coalesce(F.col(source).cast("string"), F.lit(null))
     length = F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")
     mark = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     marked = df.withColumns(
         {
-            "mix_stream": F.when(F.col(source).isin(*named), F.col(source)).otherwise(F.lit(OTHERS)),
+            "mix_stream": stream,
             "mix_mark": mark,
             "mix_bucket": F.substring(mark, 1, 3),
         }
@@ -102,13 +131,23 @@ def schedule(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = F.coalesce(F.sum(length).over(inside), F.lit(0))
-    return (
+    blocks = (
         marked.withColumn("mix_block", before)
         .join(bases, ["mix_stream", "mix_bucket"])
         .withColumn("mix_block", F.floor((F.col("mix_base") + F.col("mix_block")) / block_chars).cast("long"))
-        .withColumn("mix_slot", slot_of(F.col("mix_stream"), F.col("mix_block"), weights))
-        .select(*(df[c] for c in df.columns), "mix_stream", "mix_mark", "mix_block", "mix_slot")
     )
+    if each:
+        period = sum(weights.values())
+        rows = [(s, len(x), i, p) for s, x in period_slots(weights).items() for i, p in enumerate(x)]
+        table = df.sparkSession.createDataFrame(rows, "mix_stream string, mix_units long, mix_turn long, mix_first long")
+        units = F.broadcast(table.select("mix_stream", "mix_units").distinct())
+        blocks = blocks.join(units, "mix_stream").withColumn("mix_turn", F.col("mix_block") % F.col("mix_units"))
+        blocks = blocks.join(F.broadcast(table.drop("mix_units")), ["mix_stream", "mix_turn"])
+        slot = F.floor(F.col("mix_block") / F.col("mix_units")) * period + F.col("mix_first")
+    else:
+        slot = slot_of(F.col("mix_stream"), F.col("mix_block"), weights)
+    blocks = blocks.withColumn("mix_slot", slot.cast("long"))
+    return blocks.select(*(df[c] for c in df.columns), "mix_stream", "mix_mark", "mix_block", "mix_slot")
 
 
 def mixed(df: DataFrame, weights: dict[str, int] = WEIGHTS, block_chars: int = BLOCK_CHARS, **columns: str) -> DataFrame:

@@ -50,6 +50,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "mix_stream", "mix_block", "mix_slot")
 
 
+def op5_mixing_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.schedule(table(spark, sf_dir, "documents"), each=True)
+    return done.select("doc_id", "mix_stream", "mix_block", "mix_slot")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_near_vectors, op3_ordinal_quality, op4_byte_bpe, op5_mixing, op6_secrets,
+        op1_license_scan, op2_near_vectors, op3_ordinal_quality, op4_byte_bpe, op5_mixing, op5_mixing_each, op6_secrets,
         op7_ngram_join, op8_quality_rules, op9_html_text, op10_line_dedup, pipeline,
     )
 }
