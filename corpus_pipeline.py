@@ -7,11 +7,13 @@ and empty texts fail the quality rules; empty tables give empty tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkcols.llm import byte_bpe, line_dedup, mixing, ngram_join, quality_rules
 from sparkcols.session import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 ORACLE_SQL = None
 
 
@@ -28,15 +30,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs.select(*COLUMNS))
+    """The rows with their ``mix_slot``: files keep no order, so the place in the schedule is a column."""
+    done = mixing.schedule(docs.select(*COLUMNS), each=True)
+    return done.orderBy("mix_slot", "mix_mark", "doc_id").select(*COLUMNS, "mix_slot")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``mix_slot`` and token digests; training reads them by slot, then md5 of the key, then key."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return byte_bpe.digest(byte_bpe.decode(coded, path))
+    placed = docs.select(F.struct("doc_id", "mix_slot").alias("place"), "text")
+    coded = byte_bpe.encode(placed, path, public_tokenizers.PATTERN, key="place")
+    return byte_bpe.digest(byte_bpe.decode(coded, path), key="place").select("place.*", *DIGESTS)
 
 
 STAGES = [
