@@ -90,8 +90,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "doc long, line int, id long")
 
 
+def distinct_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The number of distinct shingles of each line: its number in the leading bits, the hash's leading ones in the rest."""
+    lines = len(bounds) - 1
+    bits = np.uint64(max(1, lines.bit_length()))
+    line = np.repeat(np.arange(lines, dtype=np.uint64), np.diff(bounds))
+    own = np.sort((line << (np.uint64(64) - bits)) | (hashes >> bits))
+    first = np.ones(len(own), bool)
+    first[1:] = own[1:] != own[:-1]
+    return np.bincount((own[first] >> (np.uint64(64) - bits)).astype(np.int64), minlength=lines)
+
+
 def bands_of(docs: DataFrame) -> DataFrame:
-    """(key, id, size, need): a row for each band of each line; lines of one shingle can only be equal and have none."""
+    """(key, id, size, need): a row for each band of each line, with its distinct shingles; lines of one shingle can only be equal and have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,6 +117,7 @@ def bands_of(docs: DataFrame) -> DataFrame:
                 low = (hashes >> np.uint64(32)).astype(np.uint32)
                 cuts = np.stack([bounds[real], bounds[real + 1]], 1).ravel()
                 padded = np.append(low, np.uint32(0))
+                sizes = distinct_of(hashes, bounds)[real]
                 keys = np.empty((BANDS, len(real)), np.uint64)
                 for band in range(BANDS):
                     key = np.full(len(real), band + 1, np.uint64)
@@ -120,7 +132,7 @@ def bands_of(docs: DataFrame) -> DataFrame:
                     [
                         pa.array(keys.ravel().view(np.int64)),
                         pa.array(np.tile(whole[real].view(np.int64), BANDS)),
-                        pa.array(np.tile(many[real], BANDS)),
+                        pa.array(np.tile(sizes, BANDS)),
                     ],
                     ["key", "id", "size"],
                 )
