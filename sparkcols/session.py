@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 PARTITION_BYTES = 256 * 1024**2
 DECODED_PER_STORED = 4
-MAX_PARTITIONS = 100_000
 
 
 def build_session(app: str = "sparkcols", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,15 +31,34 @@ def build_session(app: str = "sparkcols", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as its scans state them; no file is opened.
+
+    A join's estimate is a product, so the scans below it are added up instead.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    # a source that can't state its size counts as an unknown, about 2^63 bytes
+    return sum(size for size in sizes if size < 2**62)
+
+
+def parts_for(df: DataFrame, least: int | None = None) -> int:
+    """How many partitions an exchange of ``df`` needs: about 256 MB of decoded rows each, without an upper
+    bound, and not fewer than ``least`` (the session's number of shuffle partitions)."""
+    if least is None:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, 1, -(-scan_bytes(df) * DECODED_PER_STORED // PARTITION_BYTES))
+
+
 def size_shuffles(spark: SparkSession, stored_bytes: int) -> int:
     """Set the shuffle partitions for input of so many stored bytes, and return their number.
 
     Adaptive execution merges small partitions but cannot cut a large one in a
     range exchange, so the start value has to be large enough: about 256 MB of
-    decoded rows each, between the session's parallelism and 100,000.
+    decoded rows each, and at least the session's parallelism.
     """
     wanted = -(-stored_bytes * DECODED_PER_STORED // PARTITION_BYTES)
-    parts = max(spark.sparkContext.defaultParallelism, min(wanted, MAX_PARTITIONS))
+    parts = max(spark.sparkContext.defaultParallelism, wanted)
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     return parts
 
@@ -81,4 +99,17 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables. Call it once everything that reads them has itself been written: what is
+    still lazy would fail, also when a lost executor makes it run again."""
+    for table in tables:
+        path = getattr(table, "staged_path", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

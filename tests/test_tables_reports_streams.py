@@ -75,8 +75,8 @@ def test_shuffle_partitions_follow_the_input(spark):
     try:
         assert session.size_shuffles(spark, 10) == spark.sparkContext.defaultParallelism
         assert session.size_shuffles(spark, 64 * 1024**3) == 1024
-        assert session.size_shuffles(spark, 100 * 1024**4) == session.MAX_PARTITIONS
-        assert spark.conf.get("spark.sql.shuffle.partitions") == str(session.MAX_PARTITIONS)
+        assert session.size_shuffles(spark, 100 * 1024**4) == 4 * 100 * 1024**4 // session.PARTITION_BYTES
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(4 * 100 * 1024**4 // session.PARTITION_BYTES)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
