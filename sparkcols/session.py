@@ -37,7 +37,7 @@ def scan_bytes(df: DataFrame) -> int:
     A join's estimate is a product, so the scans below it are added up instead.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     # a source that can't state its size counts as an unknown, about 2^63 bytes
     return sum(size for size in sizes if size < 2**62)
 
