@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcols.llm import (
+    alignment,
     byte_bpe,
+    fingerprints,
     html_text,
     license_scan,
     line_dedup,
+    merkle,
     mixing,
     near_vectors,
     ngram_join,
@@ -79,6 +82,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_lost", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = F.coalesce(F.try_add(F.col("n_chars"), F.lit(1)), F.col("n_chars"))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf(docs, fields, n_chars=more))
+    return merkle.checked(merkle.manifest(docs, merkle.leaf(docs, fields), found=tampered), F.col("found"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.score(table(spark, sf_dir, "documents"), *files)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +111,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_near_vectors, op3_ordinal_quality, op4_byte_bpe, op5_mixing, op5_mixing_each, op6_secrets,
-        op7_ngram_join, op8_quality_rules, op9_html_text, op10_line_dedup, pipeline,
+        op7_ngram_join, op8_quality_rules, op9_html_text, op10_line_dedup,
+        op11_merkle_manifest, op12_fingerprints, op13_alignment, pipeline,
     )
 }
-SQL = {"op5_mixing": mixing.schedule_sql()}
+SQL = {"op5_mixing": mixing.schedule_sql(), "op11_merkle_manifest": merkle.manifest_sql()}
