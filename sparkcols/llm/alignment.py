@@ -15,9 +15,12 @@ not for each occurrence.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -31,23 +34,27 @@ from sparkcols.llm.textarrays import pieces, ragged, text_buffer
 from sparkcols.session import staged
 
 #: bytes of text that are aligned together
-BLOCK = 1 << 22
+BLOCK = 3 << 19
+#: words of up to so many characters are remembered, at most so many of them in a worker
+SHORT, REMEMBERED = 48, 1 << 19
 #: B's id lies in the low bits of a pair
 LOW_BITS = 32
 
 
 class Side(NamedTuple):
-    """A tokenizer: how it encodes a list of texts, and all tokens' bytes with their start and length by id."""
+    """A tokenizer: how it encodes a list of texts, all tokens' bytes with their start and length by id, and
+    whether no token reaches over a blank between two other characters."""
 
     encode: object
     blob: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
+    by_word: bool
 
 
-def side_of(encode, tokens: list[bytes]) -> Side:
+def side_of(encode, tokens: list[bytes], by_word: bool) -> Side:
     lengths = np.array([len(t) for t in tokens], np.int64)
-    return Side(encode, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    return Side(encode, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths, by_word)
 
 
 def letters_of_bytes() -> dict[str, int]:
@@ -70,7 +77,11 @@ def byte_level(file: bytes) -> Side:
     for name, i in names.items():
         known = all(c in letters for c in name)
         tokens[i] = bytes(letters[c] for c in name) if known else name.encode()
-    return side_of(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)], tokens)
+    given = json.loads(file)
+    cut = given["pre_tokenizer"] or {}
+    by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"] and not given["normalizer"]
+    encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return side_of(encode, tokens, bool(by_word))
 
 
 @lru_cache(maxsize=4)
@@ -79,9 +90,10 @@ def piece_level(file: bytes) -> Side:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=file)
-    named = ((model.id_to_piece(i), model.is_byte(i)) for i in range(model.get_piece_size()))
+    named = [(model.id_to_piece(i), model.is_byte(i)) for i in range(model.get_piece_size())]
     tokens = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in named]
-    return side_of(lambda texts: model.encode(texts, num_threads=1), tokens)
+    by_word = not any("▁" in p.lstrip("▁") for p, _ in named)
+    return side_of(lambda texts: model.encode(texts, num_threads=1), tokens, by_word)
 
 
 class Tokens(NamedTuple):
@@ -93,12 +105,57 @@ class Tokens(NamedTuple):
     doc: np.ndarray
 
 
-def encoded(side: Side, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts and how many each has."""
-    lists = side.encode(texts)
-    many = np.array([len(x) for x in lists], np.int64)
-    ids = np.fromiter((i for x in lists for i in x), np.int64, int(many.sum()))
-    return ids, many
+#: a blank beside other white space: what a tokenizer makes of them may depend on both
+CROWDED = re.compile(r" \s|\s ")
+
+
+class Words:
+    """Ids that both sides give a word, A after a blank; short words are remembered while the worker lives.
+
+    A text is cut at its blanks where neither side has a token that reaches over
+    one; a text with a blank beside other white space or at its end is one word.
+    """
+
+    def __init__(self, *sides: Side) -> None:
+        self.sides, self.by_word = sides, all(s.by_word for s in sides)
+        self.known: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.int32) for _ in sides]
+        self.many = [np.zeros(0, np.int64) for _ in sides]
+
+    def cut(self, text: str) -> list[str]:
+        plain = self.by_word and not text.endswith(" ") and not CROWDED.search(" " + text)
+        return text.split(" ") if plain else [text]
+
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all texts and how many each text has."""
+        cuts = [self.cut(t) for t in texts]
+        words = list(chain.from_iterable(cuts))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        fresh = sorted(dict.fromkeys(words[i] for i in new.tolist()), key=lambda w: len(w) > SHORT)
+        places = {w: i for i, w in enumerate(fresh, len(self.known))}
+        at[new] = [places[words[i]] for i in new.tolist()]
+        short = sum(len(w) <= SHORT for w in fresh)
+        keep = len(self.known) + min(short, max(0, REMEMBERED - len(self.known)))
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in cuts], dtype=np.int64)])
+        out = []
+        for i, side in enumerate(self.sides):
+            lists = side.encode([" " + w for w in fresh] if i == 0 else fresh) if fresh else []
+            added = np.fromiter(chain.from_iterable(lists), np.int32)
+            ids = np.concatenate([self.ids[i], added])
+            many = np.concatenate([self.many[i], np.array([len(x) for x in lists], np.int64)])
+            own = many[at]
+            total = np.concatenate([[0], np.cumsum(own)])
+            out.append((ids[ragged((np.cumsum(many) - many)[at], own)].astype(np.int64), np.diff(total[ends])))
+            self.many[i] = many[:keep]
+            self.ids[i] = ids[: int(many[:keep].sum())]
+        self.known.update((w, i) for w, i in places.items() if i < keep)
+        return out
+
+
+@lru_cache(maxsize=2)
+def words_of(file_a: bytes, file_b: bytes) -> Words:
+    return Words(byte_level(file_a), piece_level(file_b))
 
 
 def faithful(side: Side, ids: np.ndarray, many: np.ndarray, wanted: list[bytes]) -> np.ndarray:
@@ -167,13 +224,13 @@ class Aligned(NamedTuple):
     link_pair: np.ndarray
 
 
-def align_block(texts: list[str | None], side_a: Side, side_b: Side) -> Aligned:
+def align_block(texts: list[str | None], words: Words) -> Aligned:
     """The alignment of each text, tokenized by A after a blank and by B, which adds the blank itself."""
     rows = [i for i, t in enumerate(texts) if t]
     given = [texts[i] for i in rows]
-    spaced = [" " + t for t in given]
-    wanted = [t.encode() for t in spaced]
-    (ids_a, many_a), (ids_b, many_b) = encoded(side_a, spaced), encoded(side_b, given)
+    side_a, side_b = words.sides
+    wanted = [b" " + t.encode() for t in given]
+    (ids_a, many_a), (ids_b, many_b) = words.encoded(given)
     good = faithful(side_a, ids_a, many_a, wanted) & faithful(side_b, ids_b, many_b, wanted)
     ids_a, ids_b = ids_a[np.repeat(good, many_a)], ids_b[np.repeat(good, many_b)]
     rows, many_a, many_b = np.array(rows, np.int64)[good], many_a[good], many_b[good]
@@ -216,12 +273,12 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: str
     held = held_files(df, path_a, path_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side_a, side_b = byte_level(held.value[0]), piece_level(held.value[1])
+        words = words_of(*held.value)
         for batch in batches:
             _, offsets = text_buffer(batch.column(1))
             for first, last in pieces(offsets, BLOCK):
                 part = batch.slice(first, last - first)
-                done = align_block(part.column(1).to_pylist(), side_a, side_b)
+                done = align_block(part.column(1).to_pylist(), words)
                 columns = [*map(pa.array, done[:4]), pa.array(done.groups, pa.string())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *columns], ["k", "n_a", "n_b", "n_groups", "n_links", "groups"]
@@ -255,14 +312,14 @@ def linked_blocks(df: DataFrame, path_a: str, path_b: str, text: str, key: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        side_a, side_b = byte_level(held.value[0]), piece_level(held.value[1])
+        words = words_of(*held.value)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offsets = text_buffer(batch.column(1))
             for first, last in pieces(offsets, BLOCK):
                 part = batch.slice(first, last - first)
                 docs = len(part)
-                done = align_block(part.column(1).to_pylist(), side_a, side_b)
+                done = align_block(part.column(1).to_pylist(), words)
                 pairs, slot, times = np.unique(done.link_pair, return_inverse=True, return_counts=True)
                 own, many = np.unique(done.link_doc * len(pairs) + slot, return_counts=True)
                 cuts = np.searchsorted(own, np.arange(1, docs) * len(pairs)) if len(pairs) else np.zeros(docs - 1, np.int64)

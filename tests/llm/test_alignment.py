@@ -81,11 +81,11 @@ def test_odd_texts_repeats_and_clashing_names(spark, pair, monkeypatch):
     assert got == expected(pair, rows)
 
 
-def test_blocks_of_few_bytes(pair, monkeypatch):
-    sides = alignment.byte_level(open(A, "rb").read()), alignment.piece_level(open(B, "rb").read())
-    one = alignment.align_block(TEXTS, *sides)
+def test_each_text_alone(pair):
+    words = alignment.words_of(open(A, "rb").read(), open(B, "rb").read())
+    one = alignment.align_block(TEXTS, words)
     for i, text in enumerate(TEXTS):
-        alone = alignment.align_block([text], *sides)
+        alone = alignment.align_block([text], words)
         assert (alone.n_a[0], alone.n_b[0], alone.n_groups[0], alone.n_links[0], alone.groups[0]) == (
             one.n_a[i], one.n_b[i], one.n_groups[i], one.n_links[i], one.groups[i]
         )
@@ -99,6 +99,26 @@ def test_groups_as_text(spark, pair):
         assert got[key] == (";".join(x[2]) if x else "")
 
 
+@pytest.mark.parametrize("most", [0, 3, 1 << 19])
+def test_words_are_encoded_as_in_their_text(pair, sf_dir, monkeypatch, most):
+    """Cutting at blanks and remembering words changes no id."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(alignment, "REMEMBERED", most)
+    texts = [t for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    joints = ["", " ", "  ", "\n", " \n", "\n ", "\t", "\xa0", " \xa0", "\u3000 ", "\x1c ", ". ", " '", "'s ", "\u0301", " \u0301"]
+    texts += [f"{x}{j}{y}" for j in joints for x in ("one", "1", "", "?", "é") for y in ("two", "2", "", "!", "ß", "s")]
+    texts = [t for t in texts if t]
+    words = alignment.Words(*(f(open(p, "rb").read()) for f, p in ((alignment.byte_level, A), (alignment.piece_level, B))))
+    for part in (texts, texts[::-1]):
+        (ids_a, many_a), (ids_b, many_b) = words.encoded(part)
+        own = [e.ids for e in pair[0].encode_batch([" " + t for t in part], add_special_tokens=False)]
+        other = pair[1].encode(part)
+        assert ids_a.tolist() == [i for x in own for i in x] and many_a.tolist() == [len(x) for x in own]
+        assert ids_b.tolist() == [i for x in other for i in x] and many_b.tolist() == [len(x) for x in other]
+    assert len(words.known) <= most
+
+
 def test_empty_table(spark):
     assert alignment.score(spark.createDataFrame([], "doc_id long, text string"), A, B).collect() == []
 
