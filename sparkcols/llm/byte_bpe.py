@@ -10,6 +10,7 @@ cost about n log n steps however long the pre-token is.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -28,80 +29,89 @@ SHORT, REMEMBERED = 48, 1 << 19
 
 
 class RankQueue:
-    """Positions by merge rank, lowest rank first and leftmost position first within a rank."""
+    """Positions by merge rank, lowest rank first and leftmost position first within a rank.
 
-    __slots__ = ("buckets", "low", "mid", "top")
+    ``low`` has a bit for each rank with waiting positions, ``mid`` one for each
+    word of ``low`` that isn't 0, and the top word one for each word of ``mid``.
+    Find-first-set on each level gives the next rank; a word's lowest bit is
+    cleared when a bucket runs empty. A queue is empty again after a pre-token,
+    so a worker needs one for a vocabulary.
+    """
+
+    __slots__ = ("buckets", "low", "mid")
 
-    def __init__(self) -> None:
+    def __init__(self, ranks: int) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:  # its bits are set
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int]:
-        b = (self.top & -self.top).bit_length() - 1
-        a = b << 6 | (self.mid[b] & -self.mid[b]).bit_length() - 1
-        rank = a << 6 | (self.low[a] & -self.low[a]).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] ^= 1 << (rank & 63)
-            if not self.low[a]:
-                self.mid[b] ^= 1 << (a & 63)
-                if not self.mid[b]:
-                    self.top ^= 1 << b
-        return rank, at
-
-    def __bool__(self) -> bool:
-        return self.top != 0
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
+        self.low = [0] * ((ranks >> 6) + 1)
+        self.mid = [0] * ((ranks >> 12) + 1)
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
+    """Token ids of one pre-token. What puts into the queue and takes from it stands in the loops: a call would cost more."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, top = len(piece), 0
+    find, buckets, low, mid = ranks.get, queue.buckets, queue.low, queue.mid
     after, before = list(range(1, n + 2)), list(range(-1, n))
-    pair: list[int | None] = [None] * n  # rank of the pair that starts here, as it stands
-    queue = RankQueue()
-    find, push, pop = ranks.get, queue.push, queue.pop
-    for at in range(n - 1):
-        rank = find(piece[at : at + 2])
-        if rank is not None:
-            pair[at] = rank
-            push(rank, at)
-    while queue.top:
-        rank, at = pop()
+    # rank of the pair that starts at each position, as it stands
+    pair: list[int | None] = [find(piece[at : at + 2]) for at in range(n - 1)]
+    pair.append(None)
+    for at, rank in enumerate(pair):
+        if rank is None:
+            continue
+        if rank in buckets:
+            buckets[rank].append(at)  # positions ascend
+            continue
+        buckets[rank] = [at]
+        a = rank >> 6
+        if not low[a]:
+            mid[a >> 6] |= 1 << (a & 63)
+            top |= 1 << (a >> 6)
+        low[a] |= 1 << (rank & 63)
+    while top:
+        b = (top & -top).bit_length() - 1
+        m = mid[b]
+        a = b << 6 | (m & -m).bit_length() - 1
+        word = low[a]
+        rank = a << 6 | (word & -word).bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            at = heappop(bucket)
+        else:
+            at = bucket[0]
+            del buckets[rank]
+            low[a] = word = word & (word - 1)
+            if not word:
+                mid[b] = m = m & (m - 1)
+                if not m:
+                    top &= top - 1
         if pair[at] != rank:
             continue
         gone = after[at]
         pair[gone] = None
         after[at] = middle = after[gone]
+        left = before[at]
         if middle < n:
             before[middle] = at
             pair[at] = rank = find(piece[at : after[middle]])
-            if rank is not None:
-                push(rank, at)
         else:
-            pair[at] = None
-        left = before[at]
-        if left >= 0:
-            pair[left] = rank = find(piece[left:middle])
+            pair[at] = rank = None
+        while True:
             if rank is not None:
-                push(rank, left)
+                if rank in buckets:
+                    heappush(buckets[rank], at)
+                else:
+                    buckets[rank] = [at]
+                    a = rank >> 6
+                    if not low[a]:
+                        mid[a >> 6] |= 1 << (a & 63)
+                        top |= 1 << (a >> 6)
+                    low[a] |= 1 << (rank & 63)
+            if left < 0:
+                break
+            at, left = left, -1
+            pair[at] = rank = find(piece[at:middle])
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -122,22 +132,29 @@ def vocabulary(ranks_file: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndar
 
 
 @lru_cache(maxsize=4)
-def remembered(ranks_file: bytes) -> dict[str, bytes]:
-    """Ids of short pre-tokens met so far, kept while the worker lives."""
-    return {}
-
-
-def encode_text(text: str, find, ranks: dict[bytes, int], known: dict[str, bytes]) -> np.ndarray:
-    """Token ids of a text, each match of the pattern on its own."""
-    parts = []
-    for piece in find(text):
-        ids = known.get(piece)
-        if ids is None:
-            ids = np.array(merge(piece.encode(), ranks), np.int32).tobytes()
-            if len(piece) <= SHORT and len(known) < REMEMBERED:
-                known[piece] = ids
-        parts.append(ids)
-    return np.frombuffer(b"".join(parts), np.int32)
+def remembered(ranks_file: bytes) -> tuple[dict[str, bytes], RankQueue]:
+    """Ids of short pre-tokens met so far and the queue, kept while the worker lives."""
+    return {}, RankQueue(len(vocabulary(ranks_file)[3]))
+
+
+def encode_texts(texts: list[str], find, ranks: dict[bytes, int], known: dict[str, bytes], queue: RankQueue) -> list[np.ndarray]:
+    """Token ids of each text, each match of the pattern on its own; a pre-token is merged once for all texts."""
+    cut = [find(text) for text in texts]
+    fresh = {}
+    for pieces_of in cut:
+        for piece in set(pieces_of):
+            if piece not in known and piece not in fresh:
+                fresh[piece] = array("i", merge(piece.encode(), ranks, queue)).tobytes()
+    room = REMEMBERED - len(known)
+    short = [p for p in fresh if len(p) <= SHORT]
+    known.update((p, fresh.pop(p)) for p in short[: max(0, room)])
+    out = []
+    for pieces_of in cut:
+        parts = list(map(known.get, pieces_of))
+        if fresh and None in parts:
+            parts = [fresh[p] if x is None else x for p, x in zip(pieces_of, parts)]
+        out.append(np.frombuffer(b"".join(parts), np.int32))
+    return out
 
 
 def list_array(values: list[np.ndarray], kind: type) -> pa.Array:
@@ -164,12 +181,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = vocabulary(held.value)[0]
-        find, known = regex.compile(pattern).findall, remembered(held.value)
+        find, (known, queue) = regex.compile(pattern).findall, remembered(held.value)
         for batch in batches:
             _, offsets = text_buffer(batch.column(1))
             for a, b in pieces(offsets):
                 part = batch.slice(a, b - a)
-                ids = [encode_text(t or "", find, ranks, known) for t in part.column(1).to_pylist()]
+                ids = encode_texts([t or "" for t in part.column(1).to_pylist()], find, ranks, known, queue)
                 yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids, np.int32)], ["k", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
