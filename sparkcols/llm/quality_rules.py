@@ -109,12 +109,12 @@ def measures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     }
 
 
-def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
-    """All rules as one condition over the columns of the measures."""
+def compiled(values: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All rules as one condition over a struct of the measures."""
     passed = F.lit(True)
     for rule in rules:
-        value = F.col(rule.measure) if rule.per is None else 1000 * F.col(rule.measure)
-        unit = F.lit(1) if rule.per is None else F.col(rule.per)
+        value = values[rule.measure] if rule.per is None else 1000 * values[rule.measure]
+        unit = F.lit(1) if rule.per is None else values[rule.per]
         if rule.low is not None:
             passed = passed & (value >= rule.low * unit)
         if rule.high is not None:
@@ -122,27 +122,35 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     return passed
 
 
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Every measure of a text, ``base_failed`` and ``kept`` as one struct; each part of it is computed once."""
+
+    def counted(value: Column) -> Column:
+        words = F.filter(F.split(value, BLANKS), lambda w: w != "")
+        lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        named = lambda w, x: F.struct(*(c.alias(n) for n, c in measures(value, w, x).items()))
+        return let(words, lambda w: let(lines, lambda x: named(w, x)))
+
+    def judged(values: Column) -> Column:
+        failed = (values["n_words"] < MIN_WORDS) | (
+            100 * values["n_repeat_words"] > MAX_REPEATED_PERCENT * values["n_words"]
+        )
+        return F.struct(values.alias("_measures"), failed.alias("base_failed"), (~failed & compiled(values, rules)).alias("kept"))
+
+    measured = let(F.coalesce(text, F.lit("")), counted)
+    return let(measured, judged)
+
+
 def judge(df: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``df``: the key, every measure, ``base_failed`` and ``kept``.
 
     Words are runs without ASCII white space. Null and empty texts have no
     words and fail the base rule; repeated rows and keys are judged one by one;
-    other columns are not looked at. Results never depend on other rows.
+    other columns are not looked at. Results never depend on other rows. A
+    generator gives the row out, so that a later filter doesn't judge it again.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    split = df.select(
-        F.col(key),
-        value.alias("_text"),
-        F.filter(F.split(value, BLANKS), lambda w: w != "").alias("_words"),
-        F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
-    )
-    counted = split.select(
-        key, *(c.alias(n) for n, c in measures(F.col("_text"), F.col("_words"), F.col("_lines")).items())
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
-    )
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & compiled(rules))
+    done = df.select(F.col(key), F.inline(F.array(judgement(F.col(text), rules))))
+    return done.select(key, "_measures.*", "base_failed", "kept")
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
