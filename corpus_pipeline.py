@@ -1,7 +1,10 @@
 """From documents to token ids: quality rules, line dedup, near duplicates, mixing, byte-level BPE.
 
 Each stage is written to the shared folder and read back by the next one. Null
-and empty texts fail the quality rules; empty tables give empty tables.
+and empty texts fail the quality rules; empty tables give empty tables. Repeated
+rows are near copies of each other: line dedup takes rows with one key for one
+document, the near-duplicate stage keeps them all, as they share their key. Only
+the columns of documents are carried; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -31,8 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with their ``mix_slot``: files keep no order, so the place in the schedule is a column."""
-    done = mixing.schedule(docs.select(*COLUMNS), each=True)
-    return done.orderBy("mix_slot", "mix_mark", "doc_id").select(*COLUMNS, "mix_slot")
+    return mixing.schedule(docs.select(*COLUMNS), each=True).select(*COLUMNS, "mix_slot")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
