@@ -105,10 +105,32 @@ def epoch_millis(ts: ColumnOrName) -> Column:
     return F.when(F.typeof(t) == "timestamp_ntz", wall).otherwise(F.unix_millis(t.cast("timestamp")))
 
 
-def uuid_v7(ts: ColumnOrName, key: ColumnOrName) -> Column:
-    """Time-ordered UUID text: 48 bits of milliseconds, then 72 bits of the key's digest."""
-    head = F.lpad(F.lower(F.hex(epoch_millis(ts))), 12, "0")
+def _uuid_time(ts: ColumnOrName) -> Column:
+    """The 12 leading digits of a time-ordered UUID."""
+    millis = epoch_millis(ts)
+    beyond = F.raise_error(F.concat(F.lit("no UUID for the time "), millis.cast("string"))).cast("string")
+    return F.when((millis >= 0) & (millis < F.lit(2**48)), F.lpad(F.lower(F.hex(millis)), 12, "0")).when(millis.isNotNull(), beyond)
+
+
+def uuid_bytes(ts: ColumnOrName, key: ColumnOrName) -> Column:
+    """Time-ordered UUID (version 7) as 16 bytes, which order as its text does.
+
+    48 bits of milliseconds, then 72 bits of the key's digest. A time before
+    1970 or beyond 48 bits stops the job.
+    """
     tail = digest(key)
+    return F.unhex(F.concat(_uuid_time(ts), F.lit("7"), F.substring(tail, 1, 3), F.lit("8"), F.substring(tail, 4, 15)))
+
+
+def uuid_text(column: ColumnOrName) -> Column:
+    """A 16-byte UUID as text of 36 characters."""
+    digits = F.lower(F.hex(_col(column)))
+    return F.concat_ws("-", *[F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def uuid_v7(ts: ColumnOrName, key: ColumnOrName) -> Column:
+    """Time-ordered UUID (version 7) as text."""
+    head, tail = _uuid_time(ts), digest(key)
     return F.concat(
         F.substring(head, 1, 8), F.lit("-"), F.substring(head, 9, 4),
         F.lit("-7"), F.substring(tail, 1, 3),
@@ -118,7 +140,7 @@ def uuid_v7(ts: ColumnOrName, key: ColumnOrName) -> Column:
 
 
 def id_text(column: ColumnOrName) -> Column:
-    """An ID as text."""
+    """A number ID as text; for 16-byte UUIDs see ``uuid_text``."""
     return _col(column).cast("string")
 
 

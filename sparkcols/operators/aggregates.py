@@ -18,13 +18,19 @@ def exact_sum(column: str, scale: int) -> Column:
     A plain double sum depends on the order in which partitions arrive. Here
     the values are added as whole units, split into high and low bits so that
     neither running total can leave the long range, and the result is the same
-    for every partitioning and after any task retry.
+    for every partitioning and after any task retry. A value with more decimals
+    (or of 2^53 units and more) stops the job; NaN and infinite values make the
+    sum what a plain one would be.
     """
     name, factor = column.replace("`", "``"), f"{10**scale}D"
-    units = f"CAST(rint(`{name}` * {factor}) AS BIGINT)"
+    finite = f"abs(`{name}`) < double('infinity')"
+    whole = f"rint(`{name}` * {factor})"
+    beyond = f"raise_error(concat('more than {scale} decimals: ', string(`{name}`)))"
+    units = f"CASE WHEN {finite} THEN CASE WHEN {whole} / {factor} = `{name}` THEN CAST({whole} AS BIGINT) ELSE CAST({beyond} AS BIGINT) END END"
     high = f"CAST(sum(shiftright({units}, {_LOW_BITS})) AS DECIMAL(20,0))"
     low = f"sum({units} & {2**_LOW_BITS - 1})"
-    return F.expr(f"CAST({high} * {2**_LOW_BITS} + {low} AS DOUBLE) / {factor}")
+    odd = f"sum(CASE WHEN {finite} THEN NULL ELSE `{name}` END)"
+    return F.expr(f"coalesce({odd}, CAST({high} * {2**_LOW_BITS} + {low} AS DOUBLE) / {factor})")
 
 
 def total_of(column: str, scale: int | None = None) -> Column:

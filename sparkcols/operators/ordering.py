@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sparkcols.session import staged
-
-PLAIN_ROWS = 1_000_000
-SAMPLE_KEYS = 10_000
-MERGED_TASKS = 4
+from sparkcols.session import parts_for, staged
 
 
 def sort_desc(df: DataFrame, column: str, *ties: str) -> DataFrame:
@@ -30,67 +26,44 @@ def top_desc(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.select(column).orderBy(F.desc(column)).limit(k)
 
 
-def page(df: DataFrame, key: str, limit: int, offset: int | None = None, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+def page(df: DataFrame, key: str, limit: int, offset: int | None = None) -> DataFrame:
     """``limit`` keys in ascending order after skipping ``offset``, by default half of them.
 
-    Keys are unique IDs; rows without one are not counted.
-
-    A sort with an offset holds offset + limit rows per task and sends them all
-    to one final task. Where that is too many, taking a task for each
-    ``plain_rows`` rows, the key range around the wanted positions is narrowed
-    first, with exact counts, until few rows are left to sort; only scans and
-    global counts are used for that, no shuffle.
+    Keys are unique IDs; rows without one are not counted. The keys alone are
+    sorted by range, whose row counts tell in which partitions and at which
+    places the page begins and ends. So offset + limit rows never meet in one
+    task, however deep the page lies; only its own rows are put in order last.
     """
-    keys = df.select(key).where(F.col(key).isNotNull())
-    total = keys.count()
+    placed = with_position(df.select(key).where(F.col(key).isNotNull()), [key])
+    counts = part_counts(placed)
+    total = sum(n for _, n in counts)
     offset = total // 2 if offset is None else offset
-    if (total // plain_rows + 1) * (offset + limit) <= MERGED_TASKS * plain_rows:
-        return keys.orderBy(key).offset(offset).limit(limit)
-    low, high, skipped, inside = None, None, 0, total
-    slack = 3.0
-    while inside > plain_rows and _still_open(low, high):
-        fraction = min(1.0, SAMPLE_KEYS / inside)
-        current = _within(keys, key, low, high)
-        drawn = [r[0] for r in current.sample(fraction, seed=7).orderBy(key).collect()]
-        if not drawn:
-            break
-        margin = slack * len(drawn) ** 0.5
-        first = int((offset - skipped) / inside * len(drawn) - margin)
-        last = int((offset + limit - skipped) / inside * len(drawn) + margin) + 1
-        new_low = drawn[first] if 0 <= first < len(drawn) else low
-        new_high = drawn[last] if 0 <= last < len(drawn) else high
-        row = current.agg(
-            F.count_if(F.lit(False) if new_low is None else F.col(key) < F.lit(new_low)).alias("below"),
-            F.count_if(_bounds(key, new_low, new_high)).alias("kept"),
-        ).first()
-        begin = skipped + row["below"]
-        wanted_end = min(offset + limit, total)
-        if begin <= offset and wanted_end <= begin + row["kept"] and row["kept"] < inside:
-            low, high, skipped, inside = new_low, new_high, begin, row["kept"]
-        elif slack > 1000:
-            break
-        else:
-            slack *= 4
-    if low is not None and low == high:
-        return _within(keys, key, low, high).limit(limit)
-    return _within(keys, key, low, high).orderBy(key).offset(offset - skipped).limit(limit)
-
-
-def _still_open(low, high) -> bool:
-    return low is None or high is None or low != high
-
-
-def _bounds(key: str, low, high) -> Column:
-    inside = F.lit(True)
-    if low is not None:
-        inside = inside & (F.col(key) >= F.lit(low))
-    if high is not None:
-        inside = inside & (F.col(key) <= F.lit(high))
-    return inside
-
-
-def _within(keys: DataFrame, key: str, low, high) -> DataFrame:
-    return keys if low is None and high is None else keys.where(_bounds(key, low, high))
+    end = min(offset + limit, total)
+    if offset >= end:
+        return placed.select(key).limit(0)
+    at = F.struct("_part", "_place")
+    bounds = (place_of(counts, rank) for rank in (offset, end - 1))
+    first, last = (F.struct(F.lit(part).cast("int"), F.lit(place).cast("long")) for part, place in bounds)
+    return placed.where((at >= first) & (at <= last)).select(key).orderBy(key)
+
+
+def by_range(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Rows in ranges of ``order``, as many as the files behind ``df`` ask for.
+
+    Adaptive execution merges small ranges but can't cut a large one, so beyond
+    the session's number of shuffle partitions the exchange states its own.
+    """
+    parts = parts_for(df)
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(parts, *order)
+    return df.repartitionByRange(*order)
+
+
+def free_of(df: DataFrame, *names: str) -> None:
+    """An error if the input has a column of an operator's own name."""
+    clash = {n.lower() for n in names} & {c.lower() for c in df.columns}
+    if clash:
+        raise ValueError(f"input has the columns {sorted(clash)}")
 
 
 def with_position(df: DataFrame, order: list[Column | str]) -> DataFrame:
@@ -99,9 +72,11 @@ def with_position(df: DataFrame, order: list[Column | str]) -> DataFrame:
     Adds ``_part`` (partition number, ascending with the order) and ``_place``
     (0-based row number inside it). ``order`` ends in a unique key, so equal
     leading values spread over partitions. The result is written to the shared
-    folder, because the ranges could differ in a second evaluation.
+    folder, because the ranges could differ in a second evaluation. Input
+    columns of these names are refused.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    free_of(df, "_part", "_place", "_mark")
+    ranged = by_range(df, order).sortWithinPartitions(*order)
     marked = ranged.withColumn("_mark", F.monotonically_increasing_id())
     placed = marked.withColumns({
         "_part": F.shiftright("_mark", 33).cast("int"),
@@ -110,16 +85,31 @@ def with_position(df: DataFrame, order: list[Column | str]) -> DataFrame:
     return staged(placed, "ranged")
 
 
+def part_counts(placed: DataFrame) -> list[tuple[int, int]]:
+    """(partition, rows) in ascending order: one entry per partition."""
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n")).collect()
+    return sorted((r["_part"], r["n"]) for r in counts)
+
+
+def place_of(counts: list[tuple[int, int]], rank: int) -> tuple[int, int]:
+    """Partition and place of the row with a 0-based rank."""
+    for part, n in counts:
+        if rank < n:
+            return part, rank
+        rank -= n
+    raise IndexError("rank beyond the last row")
+
+
 def part_offsets(placed: DataFrame) -> tuple[DataFrame, int]:
     """Number of rows before each partition, ``_before``, one row per partition; and the
     number of partitions."""
-    counts = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    counts = part_counts(placed)
     offsets, before = [], 0
-    for row in counts:
-        offsets.append((row["_part"], before))
-        before += row["n"]
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
     schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
-    parts = counts[-1]["_part"] + 1 if counts else 1
+    parts = counts[-1][0] + 1 if counts else 1
     return placed.sparkSession.createDataFrame(offsets, schema), parts
 
 

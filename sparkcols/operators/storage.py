@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from sparkcols.functions.scalars import readable_bytes
+from sparkcols.functions.scalars import readable_bytes, safe_ratio
 
 CODE_BYTES = 4
 
@@ -69,6 +69,25 @@ def stored_bytes(spark: SparkSession, folders: dict[str, str], pattern: str = "*
     return reduce(DataFrame.unionByName, sizes).withColumn("readable", readable_bytes("bytes"))
 
 
+def table_report(spark: SparkSession, tables: dict[str, tuple[str, DataFrame]], pattern: str = "*") -> DataFrame:
+    """Rows, stored and logical bytes of each table, as numbers and readable, with their ratio.
+
+    ``tables`` gives a folder and the rows stored in it for each name.
+    """
+    sizes = [
+        table_size(rows).select(F.lit(name).alias("table"), "rows", F.coalesce("bytes", F.lit(0)).alias("logical"))
+        for name, (_, rows) in tables.items()
+    ]
+    stored = stored_bytes(spark, {name: folder for name, (folder, _) in tables.items()}, pattern)
+    # one row per table on both sides
+    both = reduce(DataFrame.unionByName, sizes).join(F.broadcast(stored), "table")
+    return both.select(
+        "table", "rows", F.col("bytes").alias("stored"), "logical",
+        F.col("readable").alias("stored_text"), readable_bytes("logical").alias("logical_text"),
+        safe_ratio(F.col("logical").cast("double"), F.col("bytes").cast("double")).alias("gain"),
+    )
+
+
 def encoding_report(df: DataFrame, column: str) -> DataFrame:
     """Bytes of a text column as plain values and as codes plus a dictionary.
 

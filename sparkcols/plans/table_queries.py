@@ -12,7 +12,7 @@ from sparkcols.plans.id_queries import U64_SQL, UUID_SQL
 from sparkcols.plans.registry import query
 from sparkcols.session import new_table, new_table_path
 from sparkcols.sources import generators, layout, sinks
-from sparkcols.sources.tables import conform, named_table
+from sparkcols.sources.tables import conform, from_arrow, named_table
 
 STATS_COLUMNS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag"]
 SEED_SQL = "('0x' || substr(md5('42:{0}:' || CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT"
@@ -45,7 +45,22 @@ def ingest(spark, sf_dir):
         F.col("l_partkey").alias("subcategory"), F.col("l_extendedprice").alias("amount"),
         F.col("l_quantity").alias("quantity"),
     )
-    return conform(rows, schemas.SALES)
+    name, path = new_table(spark, "sales")
+    sinks.materialize(conform(rows, schemas.SALES), name, path)
+    return released(spark, name)
+
+
+@query(
+    """SELECT p_brand AS brand, count(*) AS parts, min(p_size)::BIGINT AS smallest, max(p_size)::BIGINT AS largest
+    FROM part GROUP BY p_brand"""
+)
+def ingest_arrow(spark, sf_dir):
+    """In-memory columns of driver size: here one row for each brand, fetched as an Arrow table and stored typed."""
+    parts = named_table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"))
+    columns = parts.agg(F.count("*").alias("parts"), F.min("p_size").alias("smallest"), F.max("p_size").alias("largest")).toArrow()
+    name, path = new_table(spark, "brands")
+    sinks.materialize(from_arrow(spark, columns, schemas.BRANDS), name, path)
+    return released(spark, name)
 
 
 @query(
@@ -150,7 +165,39 @@ def logical_bytes(spark, sf_dir):
     return storage.logical_bytes(events(spark, sf_dir).select("event_id", "event_type", "value"))
 
 
-@query()
+TEXT_COLUMNS = {"events": "event_type", "part": "p_name", "orders": "o_orderpriority"}
+
+
+def text_tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, DataFrame]]:
+    """A text column of each table, stored as uncompressed lines: their size is that of the text and a line end each."""
+    out = {}
+    for name, column in TEXT_COLUMNS.items():
+        path, rows = new_table_path(spark, f"lines_{name}"), named_table(spark, sf_dir, name).select(column)
+        rows.write.option("compression", "none").text(path)
+        out[name] = (path, rows)
+    return out
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", sum(strlen({c}) + 1)::BIGINT AS bytes FROM {t}""" for t, c in TEXT_COLUMNS.items()))
 def stored_bytes(spark, sf_dir):
+    folders = {name: folder for name, (folder, _) in text_tables(spark, sf_dir).items()}
+    return storage.stored_bytes(spark, folders).select("table", "bytes")
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS "table", count(*) AS rows, sum(strlen({c}) + 1)::BIGINT AS stored,
+        sum(strlen({c}))::BIGINT AS logical, sum(strlen({c}))::DOUBLE / sum(strlen({c}) + 1)::DOUBLE AS gain FROM {t}"""
+        for t, c in TEXT_COLUMNS.items()
+    )
+)
+def table_report(spark, sf_dir):
+    report = storage.table_report(spark, text_tables(spark, sf_dir))
+    return report.select("table", "rows", "stored", "logical", "gain")
+
+
+@query()
+def stored_bytes_parquet(spark, sf_dir):
+    """Compressed columnar files, whose size SQL can't know."""
     names = ["lineitem", "orders", "events", "part"]
     return storage.stored_bytes(spark, {name: f"{sf_dir}/{name}.parquet" for name in names})

@@ -79,3 +79,13 @@ PART = _schema(
     ("p_size", T.IntegerType()),
     ("p_retailprice", T.DoubleType()),
 )
+
+#: events under a generated ID: a 64-bit number, a UUID of 16 bytes, or a UUID's text
+STORED_KEYS = {
+    kind: _schema(("id", type_), ("event_id", T.LongType()))
+    for kind, type_ in (("long", T.LongType()), ("uuid", T.BinaryType()), ("text", T.StringType()))
+}
+
+BRANDS = _schema(
+    ("brand", T.StringType()), ("parts", T.LongType()), ("smallest", T.LongType()), ("largest", T.LongType())
+)

@@ -104,6 +104,11 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return table
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete staged tables. Call it once everything that reads them has itself been written: what is
     still lazy would fail, also when a lost executor makes it run again."""

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkcols.operators.ordering import by_range
 from sparkcols.sources.sinks import drop_table
 
 
@@ -13,29 +14,26 @@ def sorted_layout(df: DataFrame, keys: list[str], path: str, files: int | None =
     """Range-partitioned files sorted by ``keys``, written and read back.
 
     Files then cover disjoint key ranges, so equality, ``IN`` and range
-    predicates skip all but a few row groups by their minimum and maximum. End
-    ``keys`` in a unique column: a run of one hot value can then be split. The
-    range exchange evaluates ``df`` twice, first for a sample of the keys, so a
-    costly ``df`` is better staged before.
+    predicates skip all but a few row groups by their minimum and maximum.
+    Without ``files`` their number follows from the bytes of the files behind
+    ``df``. The range key ends in a hash of the row's position, which is not
+    written: a run of equal keys is split evenly over files. The range exchange
+    evaluates ``df`` twice, first for a sample of the keys, so a costly ``df``
+    is better staged before.
     """
-    ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    ends = F.xxhash64(F.monotonically_increasing_id())
+    order = [*keys, ends]
+    ranged = df.repartitionByRange(files, *order) if files else by_range(df, order)
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def largest_share(df: DataFrame, keys: list[str]) -> float:
-    """Share of the rows that the most frequent key holds."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    row = counts.agg((F.max("n") / F.sum("n")).alias("share")).first()
-    return row["share"] or 0.0
-
-
 def covering_projection(df: DataFrame, keys: list[str], columns: list[str], path: str,
                         files: int | None = None) -> DataFrame:
     """A narrow copy with just the columns a family of group-bys reads, sorted by their keys.
 
-    The other columns end the sort order, so files stay even in size when one
-    key is hot; equal neighbours compress to almost nothing.
+    The other columns end the sort order, so equal neighbours compress to
+    almost nothing.
     """
     narrow = df.select(*keys, *columns)
     return sorted_layout(narrow, [*keys, *columns], path, files)
@@ -45,16 +43,11 @@ def bucketed_projection(spark: SparkSession, df: DataFrame, keys: list[str], col
                         name: str, path: str, buckets: int) -> DataFrame:
     """A narrow copy bucketed on its keys: grouping on them needs no exchange.
 
-    A bucket is read by one task, so this pays for many keys of similar size.
-    Where one key holds more than four buckets' worth of rows the copy is
-    written in the sorted layout instead, and its group-bys shuffle partial
-    sums as usual.
+    A bucket is read by one task, so this pays for many keys of similar size;
+    for a table with a hot key choose ``covering_projection``.
     """
     narrow = df.select(*keys, *columns)
     drop_table(spark, name)
-    if largest_share(df, keys) * buckets > 4:
-        sorted_layout(narrow, [*keys, *columns], path)
-        return spark.catalog.createTable(name, path=path, source="parquet")
     # one task per bucket writes one file, instead of every task writing to every bucket
     (
         narrow.repartition(buckets, *keys).write.format("parquet").mode("overwrite")

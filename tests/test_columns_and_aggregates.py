@@ -180,3 +180,16 @@ def test_filter_and_columns_reach_the_scan(spark, sf_dir):
 def test_top_k_is_one_operator(spark, sf_dir):
     plan = plan_of(order.top_asc(named_table(spark, sf_dir, "part"), "p_name", 100))
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_exact_sums_refuse_further_decimals_and_keep_nan(spark):
+    df = spark.createDataFrame([(0.125,), (0.125,)], "x double")
+    with pytest.raises(Exception, match="more than 2 decimals"):
+        agg.col_sum(df, "x", scale=2).collect()
+    assert agg.col_sum(df, "x", scale=3).first().total == 0.25
+    cents = spark.range(100_000).select((F.col("id") / 100).alias("x"))
+    assert agg.col_sum(cents, "x", scale=2).first().total == 49999500.0
+    for odd, test in ((float("nan"), lambda v: v != v), (float("inf"), lambda v: v == float("inf"))):
+        rows = spark.createDataFrame([(1.5,), (odd,), (None,)], "x double")
+        assert test(agg.col_sum(rows, "x", scale=2).first().total)
+    assert agg.col_sum(df.limit(0), "x", scale=2).first().total is None

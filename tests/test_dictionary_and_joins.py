@@ -43,8 +43,8 @@ def test_codes_are_dense_and_keep_the_order(words):
 def test_filter_on_the_dictionary_equals_the_plain_filter(words, limit):
     codes, entries = dictionary.dict_encode(words, "word", limit)
     for predicate in (F.col("word").like("w%_1"), F.col("word") == "hot", F.col("word").isin("w1", "none")):
-        for literals in (1000, 0):
-            kept = dictionary.dict_filter(codes, entries, predicate, limit, literals)
+        for ranges in (1000, 256, 7, 1):
+            kept = dictionary.dict_filter(codes, entries, predicate, limit, ranges)
             assert same(kept.select("id"), words.where(predicate).select("id"))
 
 
@@ -68,13 +68,6 @@ def test_no_hot_key_at_all(spark, limit):
     assert same(dictionary.dict_decode(codes, entries, limit), df)
 
 
-def test_hot_keys_of_long_text_stay_within_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 3_000)
-    text = F.when(F.col("id") % 2 == 0, F.repeat(F.lit("a"), 2_000)).when(F.col("id") % 4 == 1, F.repeat(F.lit("b"), 2_000))
-    df = spark.range(1_000).select(F.coalesce(text, F.lit("c")).alias("k"))
-    assert [r.k[0] for r in joins._hot_keys(df, ["k"]).collect()] == ["a"]
-
-
 def test_keys_of_two_columns(spark, limit):
     df = spark.range(900).select("id", (F.col("id") % 3).alias("a"), F.when(F.col("id") % 7 != 0, F.col("id") % 2).alias("b"))
     lookup = df.dropna().groupBy("a", "b").agg(F.max("id").alias("last")).where("a < 2")
@@ -97,8 +90,38 @@ def test_lookup_join_equals_a_plain_join(words, limit):
     assert same(semi.select("id"), words.join(lookup, "word", "left_semi").select("id"))
 
 
-def test_hot_keys_are_found(spark, words):
-    assert [r.word for r in joins._hot_keys(words, ["word"]).collect()] == ["hot"]
+def test_rows_of_a_hot_key_are_dealt_over_tasks(spark, words):
+    """A third of the rows share a key: only its lookup row is repeated, and no task gets all of its rows."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lookup = words.where("word IS NOT NULL").groupBy("word").agg(F.max("id").alias("last"))
+        pieces = joins._pieces(joins.key_counts(words, ["word"]), ["word"], 100).collect()
+        hot = words.where("word = 'hot'").count()
+        assert [r["_pieces"] for r in pieces] == [-(-hot // 100)]
+        for how in ("left", "inner", "left_semi"):
+            plain = words.join(lookup, "word", how)
+            found = joins.salted_join(words, lookup, ["word"], how, hot_rows=100)
+            assert same(found.select(*plain.columns), plain)
+        joined = joins.salted_join(words, lookup, ["word"], "left", hot_rows=100)
+        plan = plan_of(joined)
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        parts = joined.groupBy(F.spark_partition_id().alias("p"), "word").count().collect()
+        for word, rows in (("hot", hot), (None, 600)):
+            sizes = [r["count"] for r in parts if r.word == word]
+            assert len(sizes) == 8 and max(sizes) < rows / 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_salted_join_takes_repeated_rows_and_any_type(spark):
+    df = spark.createDataFrame([(1,)] * 500 + [(2,)] * 3 + [(None,)] * 40, "k int").repartition(9)
+    lookup = spark.createDataFrame([(1, b"x"), (3, b"y")], "k int, v binary")
+    for how in ("left", "inner"):
+        assert same(joins.salted_join(df, lookup, ["k"], how, hot_rows=10), df.join(lookup, "k", how))
+    with pytest.raises(ValueError):
+        joins.lookup_join(df.withColumn("_salt", F.lit(1)), lookup, "k", limit=0)
 
 
 def test_pair_count_with_repeats_and_nulls(spark, limit):
@@ -121,7 +144,7 @@ def test_large_join_counts_before_it_joins(spark, sf_dir):
     assert plan.count("HashAggregate") > 4
     small = plan_of(joins.join_count(fact, lookup, "l_orderkey", "o_orderkey"))
     assert "BroadcastHashJoin" in small and "hashpartitioning(l_orderkey" not in small
-    assert "hashpartitioning(key" in small  # of the lookup
+    assert "hashpartitioning" not in small  # the lookup's counts are written before
 
 
 def test_broadcast_bound_is_measured(spark):
@@ -145,8 +168,28 @@ def test_like_on_the_dictionary_reaches_the_scan_as_codes(spark, words, tmp_path
     codes, entries = dictionary.dict_encode(words, "word")
     codes.write.parquet(str(tmp_path / "codes"))
     stored = spark.read.schema(codes.schema).parquet(str(tmp_path / "codes"))
-    few = dictionary.dict_filter(stored, entries, F.col("word").like("w_1"))
-    assert "PushedFilters: [In(code, [" in plan_of(few) and "Join" not in plan_of(few)
-    many = dictionary.dict_filter(stored, entries, F.col("word").like("%_1"), literals=3)
-    assert "Join type: LeftSemi" in plan_of(many) and "BroadcastHashJoin" in plan_of(many)
+    few = dictionary.dict_filter(stored, entries, F.col("word").like("w_1"), ranges=1000)
+    pushed = plan_of(few).split("PushedFilters: ")[1].split("\n")[0]
+    assert "GreaterThanOrEqual(code," in pushed and "LessThanOrEqual(code," in pushed and "Join" not in plan_of(few)
+    many = dictionary.dict_filter(stored, entries, F.col("word").like("%_1"), ranges=3)
+    assert "GreaterThanOrEqual(code," in plan_of(many) and "Join type: LeftSemi" in plan_of(many)
     assert same(cols.count_like(words, "word", "%_1"), many.agg(F.count("*").alias("n")))
+    run = dictionary.dict_filter(stored, entries, F.col("word").like("w1%"), ranges=1000)
+    assert plan_of(run).split("PushedFilters: ")[1].split("\n")[0].count("GreaterThanOrEqual(code,") == 1
+
+
+def test_ranges_of_codes(spark):
+    codes = spark.createDataFrame([(c,) for c in [1, 2, 3, 7, 9, 10, 40]], "code int")
+    assert dictionary.code_ranges(codes, 40, 40) == [(1, 3, True), (7, 7, True), (9, 10, True), (40, 40, True)]
+    assert dictionary.code_ranges(codes, 40, 1) == [(1, 40, False)]
+    assert dictionary.code_ranges(codes.limit(0), 0) == []
+
+
+def test_products_beyond_a_long(spark):
+    """Two keys with five billion rows a side: the pairs don't fit 64 bits. The counts stand for rows."""
+    big = 5_000_000_000
+    df = spark.createDataFrame([("a", big), ("b", big)], "key string, rows long")
+    product = F.col("rows").cast("decimal(19,0)") * F.col("rows").cast("decimal(19,0)")
+    assert df.agg(F.sum(product.cast("decimal(38,0)")).alias("n")).first().n == 2 * big * big > 2**63
+    small = joins.join_count(df, df, "key", "key", limit=0)
+    assert dict(small.dtypes) == {"n": "decimal(38,0)"} and small.first().n == 2

@@ -12,8 +12,8 @@ def test_dictionary_predicates_see_null_rows(spark):
     codes, entries = dictionary.dict_encode(words, "word")
     renamed = codes.withColumnRenamed("word", "code") if "word" in codes.columns else codes
     for predicate in (F.col("word").isNull(), F.coalesce("word", F.lit("a")) == "a", F.col("word") == "a", F.lit(True)):
-        for literals in (1000, 0):
-            kept = dictionary.dict_filter(renamed, entries, predicate, literals=literals)
+        for ranges in (1000, 1):
+            kept = dictionary.dict_filter(renamed, entries, predicate, ranges=ranges)
             assert kept.count() == words.where(predicate).count()
 
 

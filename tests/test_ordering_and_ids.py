@@ -138,24 +138,25 @@ def test_page_is_narrowed_to_the_same_rows(spark, kind, offset, limit):
     key = F.col("id") * 3 if kind == "long" else F.md5(F.col("id").cast("string"))
     df = spark.range(50_000).select(key.alias("k"))
     expected = [r.k for r in df.orderBy("k").offset(offset).limit(limit).collect()]
-    assert [r.k for r in order.page(df, "k", limit, offset, plain_rows=500).collect()] == expected
+    assert [r.k for r in order.page(df, "k", limit, offset).collect()] == expected
 
 
 def test_page_inside_a_hot_run(spark):
     hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 15_000).otherwise(F.col("id")).alias("k"))
     for offset in (9_990, 15_000, 19_990, 19_999):
         expected = [r.k for r in hot.orderBy("k").offset(offset).limit(30).collect()]
-        assert [r.k for r in order.page(hot, "k", 30, offset, plain_rows=500).collect()] == expected
+        assert [r.k for r in order.page(hot, "k", 30, offset).collect()] == expected
 
 
 def test_sample_is_cut_to_the_same_keys(spark):
     df = spark.range(40_000)
     expected = [r.id for r in df.orderBy(F.md5(F.col("id").cast("string")), "id").limit(200).collect()]
-    for bound in (100, 10**9):
-        assert [r.id for r in ids.sample_keys(df, "id", 200, plain_rows=bound).collect()] == expected
+    sample = ids.sample_keys(df, "id", 200)
+    assert [r.id for r in sample.collect()] == expected
+    assert "Limit" not in plan_of(sample) and "TakeOrdered" not in plan_of(sample)
     salted = [r.id for r in ids.sample_keys(df, "id", 200, salt="s").collect()]
     assert len(set(salted)) == 200 and salted != expected
-    assert ids.sample_keys(df, "id", 50_000, plain_rows=100).count() == 40_000
+    assert ids.sample_keys(df, "id", 50_000).count() == 40_000
 
 
 def test_bound_values_are_data_not_text(spark):
@@ -200,3 +201,80 @@ def test_sorted_layout_has_disjoint_files_and_prunes(spark, tmp_path):
     plan = plan_of(cols.multi_lookup(stored, "id", [10, 11, 12]))
     assert "In(id, [10,11,12])" in plan
     assert "EqualTo(id,10)" in plan_of(cols.point_lookup(stored, "id", 10))
+
+
+@pytest.mark.parametrize("k", [0, 1, 99, 100, 101, 5_000, 8_999, 9_000, 9_001])
+def test_sample_with_a_hot_key(spark, k):
+    """A third of the rows share a key: the cut can fall inside its run."""
+    df = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    expected = [r.k for r in df.orderBy(F.md5(F.col("k").cast("string")), "k").limit(k).collect()]
+    assert [r.k for r in ids.sample_keys(df, "k", k).collect()] == expected
+
+
+def test_sample_keeps_its_partitions(spark, fixed_partitions):
+    df = spark.range(0, 40_000, 1, 6)
+    keys = df.select("id")
+    cut, excess = ids.digest_cut(keys, scalars.digest("id"), 4_000)
+    assert excess == 0
+    kept = keys.where(F.substring(scalars.digest("id"), 1, len(cut)) <= cut)
+    assert kept.count() == 4_000 and kept.rdd.getNumPartitions() == 6
+
+
+def test_page_sorts_only_its_own_rows(spark, fixed_partitions):
+    df = spark.range(30_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    plan = plan_of(order.page(df, "k", 100, 20_000))
+    assert "TakeOrdered" not in plan and "Limit" not in plan and "_part" in plan
+    assert order.page(df.limit(0), "k", 5).count() == 0
+
+
+def test_names_of_its_own_are_refused(spark):
+    df = spark.range(3).withColumn("_part", F.lit(9))
+    with pytest.raises(ValueError):
+        order.with_row_number(df, ["id"])
+    with pytest.raises(ValueError):
+        ids.timed_id(events_at(spark, [(1, 1, 1)]).withColumn("_Tick", F.lit(1)), "ts", F.col("machine"), "id")
+
+
+@pytest.mark.parametrize("text", ["2110-01-01", "1969-12-31 23:59:59"])
+def test_times_without_an_id_stop_the_job(spark, text):
+    df = spark.createDataFrame([(1, 1)], "id long, machine long").withColumn("ts", F.lit(text).cast("timestamp"))
+    with pytest.raises(Exception, match="no ID for the time"):
+        ids.timed_id(df, "ts", F.col("machine"), "id").collect()
+    last = df.withColumn("ts", F.lit("2039-01-01").cast("timestamp"))
+    assert ids.timed_id(last, "ts", F.col("machine"), "id").first().sid > 0
+
+
+def test_uuid_bytes_and_text(spark):
+    df = spark.range(300).withColumn("ts", F.timestamp_millis(F.col("id") * 1000 + BASE))
+    rows = df.select(scalars.uuid_bytes("ts", "id").alias("b"), scalars.uuid_v7("ts", "id").alias("t")).collect()
+    assert all(len(r.b) == 16 and r.t.replace("-", "") == r.b.hex() for r in rows)
+    back = df.select(scalars.uuid_text(scalars.uuid_bytes("ts", "id")).alias("t")).collect()
+    assert [r.t for r in back] == [r.t for r in rows]
+    with pytest.raises(Exception, match="no UUID for the time"):
+        df.select(scalars.uuid_v7(F.timestamp_millis(F.lit(-1)), "id")).collect()
+    assert df.select(scalars.uuid_v7(F.lit(None).cast("timestamp"), "id").alias("t")).first().t is None
+
+
+def scanned_rows(df) -> int:
+    """Rows that the scan of a plan without exchanges gave out."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+@pytest.mark.parametrize("kind", ["long", "uuid", "text"])
+def test_lookups_on_stored_ids_skip_row_groups(spark, tmp_path, kind):
+    n = 40_000
+    df = spark.range(n).withColumn("ts", F.timestamp_millis(F.col("id") * 50 + BASE))
+    key = {"long": F.col("id") * 7, "uuid": scalars.uuid_bytes("ts", "id"), "text": scalars.uuid_v7("ts", "id")}[kind]
+    path = str(tmp_path / kind)
+    table = layout.sorted_layout(df.select(key.alias("id"), F.col("id").alias("event_id")), ["id"], path, files=8)
+    five = [r.id for r in ids.anchor_keys(table, "id").collect()]
+    five = [bytes(x) if kind == "uuid" else x for x in five]
+    point, several = cols.point_lookup(table, "id", five[0]), cols.multi_lookup(table, "id", five)
+    span = table.where(cols.between_open("id", five[0], five[-1]))
+    for found, rows, pushed in ((point, 1, "EqualTo(id"), (several, 5, "In(id"), (span, 3, "GreaterThan(id")):
+        plan = plan_of(found)
+        assert pushed in plan.split("PushedFilters: ")[1].split("\n")[0]
+        assert found.count() == rows
+        assert scanned_rows(found) <= n / 4
