@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -109,6 +110,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
 
+def staged_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``staged``, as a table bucketed on ``key``: a later join on it moves only the other side.
+
+    ``df`` comes dealt by ``key`` into so many partitions, so that a task writes one bucket.
+    """
+    spark = df.sparkSession
+    label, path = new_table(spark, name)
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(label)
+    table = spark.table(label)
+    table.staged_path, table.staged_name = path, label
+    return table
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete staged tables. Call it once everything that reads them has itself been written: what is
     still lazy would fail, also when a lost executor makes it run again."""
@@ -116,5 +130,17 @@ def release(*tables: DataFrame | None) -> None:
         path = getattr(table, "staged_path", None)
         if path:
             spark = table.sparkSession
+            if name := getattr(table, "staged_name", None):
+                spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": name})
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing can read any more.
+
+    It does so when the driver's garbage collector finds a shuffle unused, which
+    on a large heap may be never; so that's asked for between long steps.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
