@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcols.session import staged
+from sparkcols.session import free_shuffles, parts_for, release, staged, staged_buckets
 
 #: rounds in which every item is compared with one leader of each of its keys, before the rest is compared pairwise
 LEADER_ROUNDS = 2
@@ -16,7 +18,8 @@ def union_find(links: DataFrame) -> DataFrame:
 
     Alternates hooking all larger neighbours to the smallest one with hooking
     all smaller neighbours to it, until every link leads to a root. Each round
-    is written to the shared folder; only its size and sum reach the driver.
+    is written to the shared folder, and the round before it deleted; only its
+    size and sum reach the driver.
     """
     edges = staged(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
@@ -29,26 +32,51 @@ def union_find(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(hooked.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "hooks")
+        last, edges = edges, staged(hooked.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "hooks")
+        del both, large, small, hooked
+        release(last, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    roots = staged(roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()), "roots")
+    release(edges)
+    return roots
+
+
+def sample_bound(percent: int) -> int:
+    """Hashes below it, as unsigned numbers, make a set's sample: the least power of two of all hashes that tells apart sets
+    with nothing in common. If a share s of two equally large sets differs, their similarity is (1 - s) / (1 + s) at most."""
+    bits = 1
+    while (1 - 2.0 ** -(bits + 1)) / (1 + 2.0 ** -(bits + 1)) < percent / 100:
+        bits += 1
+    return 1 << (64 - bits)
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sets' samples don't rule out. Exact: what is missing in a sample is missing in the set."""
+    side = lambda end, part, size: sets.select(F.col("id").alias(end), F.col("part").alias(part), F.col("size").alias(size))
+    found = pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    most = F.least(F.col("m") - F.size("x") + both, F.col("n") - F.size("y") + both)
+    return found.where(100 * most >= percent * (F.col("m") + F.col("n") - most)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their sets."""
+    """The pairs (a, b) with 100 * intersection >= percent * union of their sets.
+
+    ``sets`` is bucketed by id: pairs move to the sets, first to samples of them,
+    then what is left to the whole ones.
+    """
+    rest = staged(likely(pairs, sets, percent), "likely")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(100 * both >= percent * (F.size("x") + F.size("y") - both))
-        .select("a", "b")
-    )
+    found = rest.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both))
+    done = staged(found.select("a", "b"), "found")
+    release(rest)
+    return done
 
 
 def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -56,19 +84,23 @@ def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
 
     ``postings`` (key, id, size, need) lists under which keys an item is found;
     two items are candidates if they share at least the smaller ``need`` of
-    theirs. ``sets_of(ids)`` gives (id, items) of a table of ids.
+    theirs. ``sets_of(ids, parts)`` gives (id, size, part, items) of a table of
+    ids, dealt by id into so many partitions; ``part`` has the items below
+    ``sample_bound``.
 
     A group of n near copies has n * n / 2 candidate pairs but needs n - 1
     links. So each key first compares its items with one leader, and pairs that
     are connected by then are left out: they can't change the result. What is
     still apart after some rounds is compared pairwise.
     """
-    postings = staged(postings, "all_postings")  # read twice, and costly to make
-    shared = staged(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    posts = staged(postings.join(shared, "key"), "postings")
-    sets = staged(sets_of(posts.select("id").distinct()), "sets")
-    links = None
-    roots = None
+    every = staged(postings, "all_postings")  # read twice, and costly to make
+    shared = staged(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    posts = staged(every.join(shared, "key"), "postings")
+    release(every, shared)
+    free_shuffles(posts.sparkSession)
+    parts = parts_for(posts)
+    sets = staged_buckets(sets_of(posts.select("id").distinct(), parts), "sets", "id", parts)
+    found, roots = [], None
     for turn in range(LEADER_ROUNDS + 1):
         if roots is None:
             rooted = posts.withColumn("root", F.col("id"))
@@ -98,9 +130,12 @@ def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
                 .where("n >= need")
                 .select("a", "b")
             )
-        found = verified(pairs, sets, percent)
-        links = staged(found if links is None else links.unionByName(found), "found")
-        roots = staged(union_find(links), "roots")
+        found.append(verified(pairs, sets, percent))
+        del pairs, rooted
+        release(apart, roots)
+        free_shuffles(posts.sparkSession)
+        roots = union_find(reduce(DataFrame.unionByName, found))
+    release(posts, sets, *found)
     return roots
 
 

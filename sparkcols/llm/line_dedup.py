@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcols.llm.grouping import linked
+from sparkcols.llm.grouping import linked, sample_bound
 from sparkcols.llm.ngram_join import list_of
 from sparkcols.llm.shipping import map_arrow
 from sparkcols.llm.textarrays import lower_ascii, mix, pieces, powers, text_buffer
@@ -102,7 +102,11 @@ def distinct_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def bands_of(docs: DataFrame) -> DataFrame:
-    """(key, id, size, need): a row for each band of each line, with its distinct shingles; lines of one shingle can only be equal and have none."""
+    """(key, id, size, need): a row for each band of each distinct line, with its number of distinct shingles.
+
+    Lines of one shingle can only be equal and have none. A line is one row with
+    all its bands until its copies are merged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,24 +132,21 @@ def bands_of(docs: DataFrame) -> DataFrame:
                         least = np.minimum.reduceat(mixed, cuts)[::2]
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
                     keys[band] = key
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.T.ravel().view(np.int64)), BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys.ravel().view(np.int64)),
-                        pa.array(np.tile(whole[real].view(np.int64), BANDS)),
-                        pa.array(np.tile(sizes, BANDS)),
-                    ],
-                    ["key", "id", "size"],
+                    [pa.array(whole[real].view(np.int64)), pa.array(sizes), bands.cast(pa.list_(pa.int64()))], ["id", "size", "bands"]
                 )
 
-    rows = map_arrow(docs, run, "key long, id long, size long")
-    return rows.groupBy("key", "id").agg(F.min("size").alias("size"), F.lit(1).alias("need"))
+    rows = map_arrow(docs, run, "id long, size long, bands array<long>").dropDuplicates(["id"])
+    return rows.select(F.explode("bands").alias("key"), "id", "size", F.lit(1).alias("need"))
 
 
-def line_sets(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, items): the distinct shingles of the lines with these ids, each read from one document."""
+def line_sets(docs: DataFrame, lines: DataFrame, ids: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(id, size, part, items): the distinct shingles of the lines with these ids, each read from one document, dealt by id."""
     wanted = lines.join(ids, "id").groupBy("id").agg(F.min(F.struct("doc", "line")).alias("p"))
     wanted = wanted.groupBy(F.col("p.doc").alias("doc")).agg(F.collect_list("p.line").alias("at"))
     held = docs.join(wanted, "doc").select("text", "at")
+    bound = np.uint64(sample_bound(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +154,13 @@ def line_sets(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
             for a, text, number, whole, _, bounds, hashes in line_shingles(batch.column(0)):
                 mine = [i for i, (t, n) in enumerate(zip(text.tolist(), number.tolist())) if n in wanted_lines[a + t]]
                 items = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in mine]
-                yield pa.RecordBatch.from_arrays([pa.array(whole[mine].view(np.int64)), list_of(items)], ["id", "items"])
+                samples = [x[: np.searchsorted(x, bound)] for x in items]
+                columns = [pa.array(whole[mine].view(np.int64)), pa.array([len(x) for x in items], pa.int64()), list_of(samples), list_of(items)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "part", "items"])
 
-    return map_arrow(held, run, "id long, items array<long>").dropDuplicates(["id"])
+    found = map_arrow(held, run, "id long, size long, part array<long>, items array<long>")
+    # rows with one key give a line more than once; they lie together by now
+    return found.repartition(parts, "id").dropDuplicates(["id"])
 
 
 def lost_lines(df: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -169,7 +174,7 @@ def lost_lines(df: DataFrame, percent: int = 80, text: str = "text", key: str =
     """
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     lines = staged(lines_of(docs), "lines")
-    roots = linked(bands_of(docs), lambda ids: line_sets(docs, lines, ids), percent)
+    roots = linked(bands_of(docs), lambda ids, parts: line_sets(docs, lines, ids, parts, percent), percent)
     rooted = lines.join(roots, "id", "left").select("doc", "line", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     first = staged(first.where("n > 1").select("root", "first"), "firsts")

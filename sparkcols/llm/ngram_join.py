@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcols.llm.grouping import linked
+from sparkcols.llm.grouping import linked, sample_bound
 from sparkcols.llm.shipping import map_arrow
-from sparkcols.llm.textarrays import mix, shingle_sets
+from sparkcols.llm.textarrays import mix, pieces, shingle_sets, text_buffer
 from sparkcols.session import staged
 
 #: frequencies are kept for hashed buckets, 2 ** this many: a table of fixed size, used only to order shingles
@@ -90,45 +90,47 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, usual: float, percent: int) -
     return tokens[order[: base + best]], best
 
 
-def postings(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(key, id, size, need): one row for each shingle of a document's prefix."""
+def postings(docs: DataFrame, heads: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(key, id, size, need): one row for each shingle of the prefix of the documents with these ids.
+
+    A document's prefix is one row until the ids are known to be wanted: that
+    moves a small part of its shingles instead of its text.
+    """
     filled = table[table > 0]
     usual = float(np.median(filled)) * 1.5 + 1 if len(filled) else 1.0
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, needs, many = [], [], [], []
+            keys, sizes, needs = [], [], []
             for tokens in shingle_sets(batch.column(1), width):
                 part, need = prefix(tokens, held.value[bucket(tokens)], usual, percent) if len(tokens) else (tokens, 1)
                 keys.append(part)
                 sizes.append(len(tokens))
                 needs.append(need)
-                many.append(len(part))
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), many)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)),
-                    pa.array(ids, pa.int64()),
-                    pa.array(np.repeat(np.array(sizes, np.int64), many)),
-                    pa.array(np.repeat(np.array(needs, np.int64), many)),
-                ],
-                ["key", "id", "size", "need"],
-            )
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(needs, pa.int64()), list_of(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "need", "keys"])
 
-    return map_arrow(docs, run, "key long, id long, size long, need long")
+    rows = map_arrow(docs, run, "id long, size long, need long, keys array<long>").join(heads, "id", "left_semi")
+    return rows.select(F.explode("keys").alias("key"), "id", "size", "need")
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, items): the whole sets."""
+def sets(docs: DataFrame, ids: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
+    """(id, size, part, items): the whole sets of these ids and samples of them, dealt by id."""
+    bound = np.uint64(sample_bound(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), list_of(list(shingle_sets(batch.column(1), width)))], ["id", "items"]
-            )
+            _, offsets = text_buffer(batch.column(1))
+            for a, b in pieces(offsets):
+                found = list(shingle_sets(batch.column(1).slice(a, b - a), width))
+                samples = [x[: np.searchsorted(x, bound)] for x in found]
+                columns = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in found], pa.int64()), list_of(samples), list_of(found)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "part", "items"])
 
-    return map_arrow(docs, run, "id long, items array<long>")
+    # dealt before the join, so that the join and the buckets made of its result need no further exchange
+    wanted = docs.repartition(parts, "id").join(ids, "id", "left_semi")
+    return map_arrow(wanted, run, "id long, size long, part array<long>, items array<long>")
 
 
 def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -144,11 +146,11 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     seen = staged(digests(docs, width), "digests")
     real = seen.where("id is not null and size > 0")
     classes = staged(real.groupBy("one", "two", "size").agg(F.min("id").alias("first")), "classes")
-    heads = docs.join(classes.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    heads = classes.select(F.col("first").alias("id")).distinct()
     table = frequencies(docs, width)
     roots = linked(
-        postings(heads, table, width, percent),
-        lambda ids: sets(heads.join(ids, "id", "left_semi"), width),
+        postings(docs, heads, table, width, percent),
+        lambda ids, parts: sets(docs, ids, parts, width, percent),
         percent,
     )
     named = classes.join(roots.withColumnRenamed("id", "first"), "first", "left").select(
