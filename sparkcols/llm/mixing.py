@@ -1,6 +1,6 @@
 """Mixing sources to target weights: proportionate-fair (Pfair) schedule of source blocks.
 
-Each stream (a named source, or all others together) owns ``units`` slots in
+Each stream (a named source, or all others together, who may take turns) owns ``units`` slots in
 every period of ``sum(units)`` slots. Its block number k may run from slot
 ``floor(k * period / units)`` on and has to run before slot
 ``ceil((k + 1) * period / units)``. Earliest deadline first meets every window,
@@ -12,11 +12,13 @@ from the weights alone.
 from __future__ import annotations
 
 import heapq
-from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcols.operators.ordering import with_row_number
+from sparkcols.session import staged
+
 #: stream name of all sources without a weight of their own, and of null
 OTHERS = "(others)"
 #: target weights of the registered query, in slots per period
@@ -57,22 +59,11 @@ def slot_of(stream: Column, block: Column, weights: dict[str, int]) -> Column:
     return found.cast("long")
 
 
-def every_source(df: DataFrame, weights: dict[str, int], source: str) -> tuple[dict[str, int], str]:
-    """Weights of all sources found and of null, and the stream name of null.
-
-    Named sources keep their share; the share of ``OTHERS`` is dealt equally to
-    all others that are found. One row per source reaches the driver.
-    """
-    found = [r[0] for r in df.select(F.col(source).cast("string")).distinct().collect()]
-    null = "(null)"
-    while null in found or null in weights:
-        null = f"({null})"
-    named = {s: u for s, u in weights.items() if s != OTHERS and u > 0}
-    rest = sorted({null if s is None else s for s in found} - set(named))
-    if not rest:
-        return named or {null: 1}, null
-    times = len(rest) // gcd(len(rest), weights[OTHERS])
-    return {s: u * times for s, u in named.items()} | {s: weights[OTHERS] * times // len(rest) for s in rest}, null
+def own_stream(source: Column) -> Column:
+    """A stream name for every source: ``(null)`` for null; sources that look like it get further brackets."""
+    source = source.cast("string")
+    bracketed = F.when(source.rlike(r"^\(+null\)+$"), F.concat(F.lit("("), source, F.lit(")"))).otherwise(source)
+    return F.coalesce(bracketed, F.lit("(null)"))
 
 
 def schedule(
@@ -97,10 +88,13 @@ def schedule(
 
     With ``each`` there is no common stream: every source of the input without
     a weight, and null, has a stream of its own with an equal share of that of
-    ``OTHERS``. The period then has a slot for each unit of up to that many times
-    the weights; its table is made on the driver.
+    ``OTHERS``. They take turns in its slots: block k of the j-th of n is its
+    block k * n + j, which is earliest deadline first for equal weights and keeps
+    each of them less than one block away from its own share of all slots. Any
+    number of sources will do; none reaches the driver. Without such sources
+    the slots of ``OTHERS`` are left out of the period.
     """
-    clash = {"mix_stream", "mix_mark", "mix_block", "mix_slot", "mix_bucket", "mix_base", "mix_units", "mix_turn", "mix_first"} & set(df.columns)
+    clash = {"mix_stream", "mix_mark", "mix_block", "mix_slot", "mix_bucket", "mix_base", "mix_turn"} & set(df.columns)
     if clash:
         raise ValueError(f"input has the columns {sorted(clash)}")
     if any(u < 0 for u in weights.values()) or weights.get(OTHERS, 0) < 1:
@@ -108,8 +102,7 @@ def schedule(
     named = [s for s in weights if s != OTHERS and weights[s] > 0]
     stream = F.when(F.col(source).isin(*named), F.col(source)).otherwise(F.lit(OTHERS))
     if each:
-        weights, null = every_source(df, weights, source)
-        stream = F.coalesce(F.col(source).cast("string"), F.lit(null))
+        stream = own_stream(F.col(source))
     length = F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")
     mark = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     marked = df.withColumns(
@@ -125,6 +118,14 @@ def schedule(
     bases = sums.select(
         "mix_stream", "mix_bucket", F.coalesce(F.sum("mix_sum").over(upto), F.lit(0)).alias("mix_base")
     )
+    alone = F.col("mix_stream").isin(*named)
+    if each:
+        rest = staged(df.select(stream.alias("mix_stream")).where(~alone).distinct(), "sources")
+        many = rest.count()
+        rest = with_row_number(rest, ["mix_stream"], "mix_turn")
+        weights = weights if many or not named else {s: weights[s] for s in named}
+        turns = rest.withColumn("mix_turn", F.col("mix_turn") - 1)
+        bases = bases.join(turns, "mix_stream", "left")
     inside = (
         Window.partitionBy("mix_stream", "mix_bucket")
         .orderBy("mix_mark", F.col(key), length)
@@ -136,16 +137,10 @@ def schedule(
         .join(bases, ["mix_stream", "mix_bucket"])
         .withColumn("mix_block", F.floor((F.col("mix_base") + F.col("mix_block")) / block_chars).cast("long"))
     )
+    slot = slot_of(F.col("mix_stream"), F.col("mix_block"), weights)
     if each:
-        period = sum(weights.values())
-        rows = [(s, len(x), i, p) for s, x in period_slots(weights).items() for i, p in enumerate(x)]
-        table = df.sparkSession.createDataFrame(rows, "mix_stream string, mix_units long, mix_turn long, mix_first long")
-        units = F.broadcast(table.select("mix_stream", "mix_units").distinct())
-        blocks = blocks.join(units, "mix_stream").withColumn("mix_turn", F.col("mix_block") % F.col("mix_units"))
-        blocks = blocks.join(F.broadcast(table.drop("mix_units")), ["mix_stream", "mix_turn"])
-        slot = F.floor(F.col("mix_block") / F.col("mix_units")) * period + F.col("mix_first")
-    else:
-        slot = slot_of(F.col("mix_stream"), F.col("mix_block"), weights)
+        turn = F.col("mix_block") * many + F.col("mix_turn")
+        slot = F.when(alone, slot) if not many else F.when(alone, slot).otherwise(slot_of(F.lit(OTHERS), turn, weights))
     blocks = blocks.withColumn("mix_slot", slot.cast("long"))
     return blocks.select(*(df[c] for c in df.columns), "mix_stream", "mix_mark", "mix_block", "mix_slot")
 
@@ -156,21 +151,43 @@ def mixed(df: DataFrame, weights: dict[str, int] = WEIGHTS, block_chars: int = B
     return schedule(df, weights, block_chars, **columns).orderBy("mix_slot", "mix_mark", key).select(*df.columns)
 
 
-def schedule_sql(weights: dict[str, int] = WEIGHTS, block_chars: int = BLOCK_CHARS, table: str = "documents") -> str:
-    """SQL twin of the registered query."""
+def slot_cases(weights: dict[str, int], stream: str, block: str) -> str:
+    """SQL for the slot of a block."""
     period = sum(weights.values())
-    named = ", ".join(f"'{s}'" for s in weights if s != OTHERS and weights[s] > 0)
     cases = " ".join(
-        f"WHEN '{s}' THEN (mix_block // {len(x)}) * {period} + ({list(x)})[(mix_block % {len(x)})::INT + 1]"
+        f"WHEN '{s}' THEN (({block}) // {len(x)}) * {period} + ({list(x)})[(({block}) % {len(x)})::INT + 1]"
         for s, x in period_slots(weights).items() if x
     )
+    return f"(CASE {stream} {cases} END)::BIGINT"
+
+
+def schedule_sql(
+    weights: dict[str, int] = WEIGHTS, block_chars: int = BLOCK_CHARS, table: str = "documents", each: bool = False
+) -> str:
+    """SQL twin of the registered queries."""
+    own = [s for s in weights if s != OTHERS and weights[s] > 0]
+    named = ", ".join(f"'{s}'" for s in own)
+    stream = f"CASE WHEN source IN ({named}) THEN source ELSE '{OTHERS}' END"
+    slot, rest, last = slot_cases(weights, "mix_stream", "mix_block"), "", "blocks"
+    if each:
+        stream = r"""CASE WHEN source IS NULL THEN '(null)'
+             WHEN regexp_full_match(source, '\(+null\)+') THEN '(' || source || ')' ELSE source END"""
+        rest = f""",
+    rest AS (
+      SELECT mix_stream, row_number() OVER (ORDER BY mix_stream) - 1 AS turn, count(*) OVER () AS many
+      FROM (SELECT DISTINCT mix_stream FROM marked WHERE mix_stream NOT IN ({named})))"""
+        last = "blocks LEFT JOIN rest USING (mix_stream)"
+        alone = slot_cases({s: weights[s] for s in own}, "mix_stream", "mix_block")
+        others = slot_cases(weights, f"'{OTHERS}'", "mix_block * many + turn")
+        slot = f"""CASE WHEN many IS NOT NULL THEN {others}
+             WHEN EXISTS (SELECT 1 FROM rest) THEN {slot} ELSE {alone} END"""
     return f"""
     WITH marked AS (
-      SELECT doc_id, CASE WHEN source IN ({named}) THEN source ELSE '{OTHERS}' END AS mix_stream,
+      SELECT doc_id, {stream} AS mix_stream,
              md5(coalesce(doc_id::VARCHAR, '')) AS mark, length(coalesce(text, '')) AS n
       FROM {table}),
     blocks AS (
       SELECT doc_id, mix_stream, (coalesce(sum(n) OVER (PARTITION BY mix_stream ORDER BY mark, doc_id, n
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {block_chars})::BIGINT AS mix_block
-      FROM marked)
-    SELECT doc_id, mix_stream, mix_block, (CASE mix_stream {cases} END)::BIGINT AS mix_slot FROM blocks"""
+      FROM marked){rest}
+    SELECT doc_id, mix_stream, mix_block, {slot} AS mix_slot FROM {last}"""

@@ -50,14 +50,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "mix_stream", "mix_block", "mix_slot")
-
-
-def op5_mixing_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mixing.schedule(table(spark, sf_dir, "documents"), each=True)
     return done.select("doc_id", "mix_stream", "mix_block", "mix_slot")
 
 
+def op5_mixing_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources without a weight in one stream."""
+    return mixing.schedule(table(spark, sf_dir, "documents")).select("doc_id", "mix_stream", "mix_block", "mix_slot")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -110,9 +111,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_near_vectors, op3_ordinal_quality, op4_byte_bpe, op5_mixing, op5_mixing_each, op6_secrets,
+        op1_license_scan, op2_near_vectors, op3_ordinal_quality, op4_byte_bpe, op5_mixing, op5_mixing_common, op6_secrets,
         op7_ngram_join, op8_quality_rules, op9_html_text, op10_line_dedup,
         op11_merkle_manifest, op12_fingerprints, op13_alignment, pipeline,
     )
-}
-SQL = {"op5_mixing": mixing.schedule_sql(), "op11_merkle_manifest": merkle.manifest_sql()}
+} | {"op5_mixing_each": op5_mixing}
+SQL = {
+    "op5_mixing": mixing.schedule_sql(each=True),
+    "op5_mixing_each": mixing.schedule_sql(each=True),
+    "op5_mixing_common": mixing.schedule_sql(),
+    "op11_merkle_manifest": merkle.manifest_sql(),
+}
