@@ -25,7 +25,7 @@ from sparkcols.llm.shipping import map_arrow, ship
 from sparkcols.session import staged
 
 #: tables, projections of each, width of a cell on the unit sphere, cells that a query visits in each table
-TABLES, PROJECTIONS, WIDTH, PROBES = 4, 4, 1.5, 24
+TABLES, PROJECTIONS, WIDTH, PROBES = 4, 4, 1.5, 30
 #: lengths of a band: up to 2 ** BAND times its shortest
 BAND = 0.25
 #: rows of a cell that one task compares at a time, on either side
