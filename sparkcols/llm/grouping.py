@@ -11,6 +11,8 @@ from sparkcols.session import free_shuffles, parts_for, release, staged, staged_
 
 #: rounds in which every item is compared with one leader of each of its keys, before the rest is compared pairwise
 LEADER_ROUNDS = 2
+#: items of a key that are compared pairwise then; keys with more get finer keys
+PAIRWISE = 64
 
 
 def union_find(links: DataFrame) -> DataFrame:
@@ -91,7 +93,9 @@ def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
     A group of n near copies has n * n / 2 candidate pairs but needs n - 1
     links. So each key first compares its items with one leader, and pairs that
     are connected by then are left out: they can't change the result. What is
-    still apart after some rounds is compared pairwise.
+    still apart after some rounds is compared pairwise in keys of few items; in
+    those of many, finer keys (``refined``) take the place of the key. No pair is
+    verified twice.
     """
     every = staged(postings, "all_postings")  # read twice, and costly to make
     shared = staged(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
@@ -100,45 +104,106 @@ def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
     free_shuffles(posts.sparkSession)
     parts = parts_for(posts)
     sets = staged_buckets(sets_of(posts.select("id").distinct(), parts), "sets", "id", parts)
-    found, roots = [], None
-    for turn in range(LEADER_ROUNDS + 1):
-        if roots is None:
-            rooted = posts.withColumn("root", F.col("id"))
-        else:
-            rooted = posts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        apart = rooted.groupBy("key").agg(
-            F.min("root").alias("lo"),
-            F.max("root").alias("hi"),
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "size", "root")).alias("lead"),
-        )
-        apart = staged(apart.where("lo <> hi"), "apart")
-        if turn < LEADER_ROUNDS:
-            pairs = (
-                rooted.join(apart, "key")
-                .where((F.col("root") != F.col("lead.root")) & close(F.col("size"), F.col("lead.size"), percent))
-                .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
-                .distinct()
-            )
-        else:
-            rest = rooted.join(apart.select("key"), "key").select("key", "id", "size", "need", "root")
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = (
-                x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
-                .where(close(F.col("x.size"), F.col("y.size"), percent))
-                .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-                .agg(F.count("*").alias("n"), F.first(F.least("x.need", "y.need")).alias("need"))
-                .where("n >= need")
-                .select("a", "b")
-            )
-        found.append(verified(pairs, sets, percent))
-        del pairs, rooted
-        release(apart, roots)
-        free_shuffles(posts.sparkSession)
-        roots = union_find(reduce(DataFrame.unionByName, found))
-    release(posts, sets, *found)
+    found, tried, roots, fine = [], [], None, None
+    for turn in range(LEADER_ROUNDS):
+        apart = staged(keys_apart(posts, roots, turn), "apart")
+        if not apart.isEmpty():
+            roots = add_links(leader_pairs(posts, roots, apart, percent), sets, percent, tried, found, roots)
+        release(apart)
+    apart = staged(keys_apart(posts, roots, LEADER_ROUNDS), "apart")
+    if not apart.where(F.col("n") > PAIRWISE).isEmpty():
+        fine = staged(refined(posts, roots, apart, sets, percent), "refined")
+        finer = staged(keys_apart(fine, roots, LEADER_ROUNDS), "apart")
+        roots = add_links(leader_pairs(fine, roots, finer, percent), sets, percent, tried, found, roots)
+        release(finer)
+    if not apart.isEmpty():
+        few = posts.join(apart.where(F.col("n") <= PAIRWISE).select("key"), "key", "left_semi")
+        rest = few if fine is None else few.unionByName(fine)
+        roots = add_links(all_pairs(with_roots(rest, roots), percent), sets, percent, tried, found, roots)
+    if roots is None:
+        roots = posts.select("id", F.col("id").alias("root")).where("false")
+        roots = staged(roots, "roots")
+    release(apart, posts, sets, fine, *found, *tried)
     return roots
 
 
+def add_links(pairs, sets, percent, tried, found, roots) -> DataFrame | None:
+    """The roots after these pairs are verified, but for those tried before; both lists grow."""
+    pairs = staged(untried(pairs, tried), "pairs")
+    tried.append(pairs)
+    links = verified(pairs, sets, percent)
+    if links.isEmpty():
+        release(links)
+        return roots
+    found.append(links)
+    free_shuffles(sets.sparkSession)
+    grown = union_find(reduce(DataFrame.unionByName, found))
+    release(roots)
+    return grown
+
+
+def with_roots(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The postings with the ``root`` of each item: the item itself before it has a link."""
+    if roots is None:
+        return posts.withColumn("root", F.col("id"))
+    return posts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def keys_apart(posts: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """(key, n, lead): the keys whose items aren't connected yet, the number of their items and one of them."""
+    lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "size", "root")).alias("lead")
+    ends = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), lead]
+    return with_roots(posts, roots).groupBy("key").agg(*ends).where("lo <> hi").select("key", "n", "lead")
+
+
+def leader_pairs(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every item with the leader of each of its keys, if they aren't connected yet."""
+    near = (F.col("root") != F.col("lead.root")) & close(F.col("size"), F.col("lead.size"), percent)
+    found = with_roots(posts, roots).join(apart, "key").where(near)
+    return found.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+
+def all_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the items of each key that aren't connected yet, pairwise, if they share as many keys as they need."""
+    x, y = rest.alias("x"), rest.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+    return (
+        x.join(y, same & close(F.col("x.size"), F.col("y.size"), percent))
+        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .agg(F.count("*").alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
+        .where("n >= need")
+        .select("a", "b")
+    )
+
+
+def untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """The pairs that no round has verified yet."""
+    return pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti") if tried else pairs
+
+
+def refined(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Finer postings (key, id, size, need) for keys with more than ``PAIRWISE`` items.
+
+    Similar sets share one of their first n - ceil(t * n) + 1 items in any
+    order that is the same for both. Here those come first that fewest sets of
+    the key hold, so that unlike sets rarely share one. It's exact: no link of
+    these keys needs more than one finer key.
+    """
+    large = with_roots(posts, roots).join(apart.where(F.col("n") > PAIRWISE).select("key"), "key").select("key", "id", "size")
+    # one row for a key and an item of a set; equal ones are counted on the map side first
+    held = large.join(sets.select("id", F.explode("items").alias("item")), "id")
+    often = held.groupBy("key", "item").agg(F.count("*").alias("often")).where("often > 1")
+    first = F.sort_array(F.collect_list(F.struct("often", "item")))
+    # items of one set only come before all others, but make no pair: they need only be counted
+    single = F.col("size") - F.size("ranked")
+    width = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("long") + 1
+    ranked = held.join(often, ["key", "item"]).groupBy("key", "id", "size").agg(first.alias("ranked"))
+    taken = F.slice("ranked", F.lit(1), F.greatest(width - single, F.lit(0)).cast("int"))
+    return ranked.select("key", "id", "size", F.explode(taken).alias("at")).select(
+        F.xxhash64("key", "at.item").alias("key"), "id", "size", F.lit(1).alias("need")
+    )
+
+
 def close(a, b, percent: int):
     """Whether sets of these sizes can be similar enough."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)

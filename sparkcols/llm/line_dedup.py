@@ -17,6 +17,8 @@ from sparkcols.session import staged
 
 #: characters (bytes) of a shingle; bands and rows of a band: a similarity of 0.8 is found in 99.7 of 100 cases
 SHINGLE, BANDS, ROWS = 8, 8, 3
+#: bytes of text that are turned into arrays at a time: these then stay in a core's cache
+PIECE = 1 << 17
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -34,7 +36,7 @@ def line_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarra
     of a line not at all. A line shorter than a shingle is one shingle.
     """
     data, offsets = text_buffer(column)
-    for a, b in pieces(offsets):
+    for a, b in pieces(offsets, PIECE):
         raw = normal(data[offsets[a] : offsets[b]])
         at = offsets[a : b + 1] - offsets[a]
         # a line end after each text, then no line crosses a text
@@ -70,26 +72,6 @@ def line_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield a, text, number, whole, np.where(size > 0, bounds[:-1], -1), bounds, hashes
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, line, id): every line that isn't blank, with the 64-bit hash of its normal form."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, text, number, whole, has, _, _ in line_shingles(batch.column(1)):
-                real = has >= 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[a + text[real]], pa.int64()),
-                        pa.array(number[real].astype(np.int32)),
-                        pa.array(whole[real].view(np.int64)),
-                    ],
-                    ["doc", "line", "id"],
-                )
-
-    return map_arrow(docs, run, "doc long, line int, id long")
-
-
 def distinct_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The number of distinct shingles of each line: its number in the leading bits, the hash's leading ones in the rest."""
     lines = len(bounds) - 1
@@ -101,43 +83,65 @@ def distinct_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.bincount((own[first] >> (np.uint64(64) - bits)).astype(np.int64), minlength=lines)
 
 
-def bands_of(docs: DataFrame) -> DataFrame:
-    """(key, id, size, need): a row for each band of each distinct line, with its number of distinct shingles.
+def band_keys(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The keys of the bands of these lines, a row for each line."""
+    # neighbouring lines that aren't asked for are left out, so segments are cut at both ends
+    low = np.append((hashes >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    cuts = np.stack([bounds[lines], bounds[lines + 1]], 1).ravel()
+    keys = np.empty((BANDS, len(lines)), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(lines), band + 1, np.uint64)
+        for row in range(ROWS):
+            mixed = low * FACTORS[band * ROWS + row]
+            mixed ^= mixed >> np.uint32(15)
+            mixed *= np.uint32(0x2C1B3C6D)
+            least = np.minimum.reduceat(mixed, cuts)[::2]
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
+        keys[band] = key
+    return keys.T
+
 
-    Lines of one shingle can only be equal and have none. A line is one row with
-    all its bands until its copies are merged.
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc, line, id, size, bands): every line that isn't blank, with the 64-bit hash of its normal form.
+
+    ``bands`` has the keys of the line's bands, and ``size`` the number of its
+    distinct shingles. Both are null where an equal line stands shortly before
+    it, and for lines of one shingle, which can only be equal.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, whole, has, bounds, hashes in line_shingles(batch.column(1)):
-                many = np.diff(bounds)
-                real = np.flatnonzero(many > 1)
-                _, one = np.unique(whole[real], return_index=True)  # copies within the batch
-                real = np.sort(real[one])
-                if not len(real):
-                    continue
-                # neighbouring lines of one shingle or none are left out, so segments are cut at both ends
-                low = (hashes >> np.uint64(32)).astype(np.uint32)
-                cuts = np.stack([bounds[real], bounds[real + 1]], 1).ravel()
-                padded = np.append(low, np.uint32(0))
-                sizes = distinct_of(hashes, bounds)[real]
-                keys = np.empty((BANDS, len(real)), np.uint64)
-                for band in range(BANDS):
-                    key = np.full(len(real), band + 1, np.uint64)
-                    for row in range(ROWS):
-                        mixed = padded * FACTORS[band * ROWS + row]
-                        mixed ^= mixed >> np.uint32(15)
-                        mixed *= np.uint32(0x2C1B3C6D)
-                        least = np.minimum.reduceat(mixed, cuts)[::2]
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-                    keys[band] = key
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.T.ravel().view(np.int64)), BANDS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[real].view(np.int64)), pa.array(sizes), bands.cast(pa.list_(pa.int64()))], ["id", "size", "bands"]
-                )
-
-    rows = map_arrow(docs, run, "id long, size long, bands array<long>").dropDuplicates(["id"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, text, number, whole, has, bounds, hashes in line_shingles(batch.column(1)):
+                real = np.flatnonzero(has >= 0)
+                _, one = np.unique(whole[real], return_index=True)
+                first = np.zeros(len(whole), bool)
+                first[real[one]] = True
+                first &= np.diff(bounds) > 1
+                posted = np.flatnonzero(first)
+                sizes = np.zeros(len(whole), np.int64)
+                starts = np.zeros(len(whole) + 1, np.int32)
+                flat = np.zeros(0, np.uint64)
+                if len(posted):
+                    sizes[posted] = distinct_of(hashes, bounds)[posted]
+                    flat = band_keys(hashes, bounds, posted).ravel()
+                np.cumsum(first * BANDS, out=starts[1:])
+                at = pa.array(np.append(starts[real], starts[-1]), pa.int32(), mask=np.append(~first[real], False))
+                columns = [
+                    pa.array(keys[a + text[real]], pa.int64()),
+                    pa.array(number[real].astype(np.int32)),
+                    pa.array(whole[real].view(np.int64)),
+                    pa.array(sizes[real], mask=~first[real]),
+                    pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "line", "id", "size", "bands"])
+
+    return map_arrow(docs, run, "doc long, line int, id long, size long, bands array<long>")
+
+
+def postings(lines: DataFrame) -> DataFrame:
+    """(key, id, size, need): a row for each band of each distinct line, which is one row until its copies are merged."""
+    rows = lines.where("bands is not null").select("id", "size", "bands").dropDuplicates(["id"])
     return rows.select(F.explode("bands").alias("key"), "id", "size", F.lit(1).alias("need"))
 
 
@@ -174,7 +178,7 @@ def lost_lines(df: DataFrame, percent: int = 80, text: str = "text", key: str =
     """
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     lines = staged(lines_of(docs), "lines")
-    roots = linked(bands_of(docs), lambda ids, parts: line_sets(docs, lines, ids, parts, percent), percent)
+    roots = linked(postings(lines), lambda ids, parts: line_sets(docs, lines, ids, parts, percent), percent)
     rooted = lines.join(roots, "id", "left").select("doc", "line", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     first = staged(first.where("n > 1").select("root", "first"), "firsts")
