@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkcols.session import free_shuffles, parts_for, release, staged, staged_buckets
 
 #: rounds in which every item is compared with one leader of each of its keys, before the rest is compared pairwise
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 #: items of a key that are compared pairwise then; keys with more get finer keys
 PAIRWISE = 64
 
@@ -20,27 +20,30 @@ def union_find(links: DataFrame) -> DataFrame:
 
     Alternates hooking all larger neighbours to the smallest one with hooking
     all smaller neighbours to it, until every link leads to a root. Each round
-    is written to the shared folder, and the round before it deleted; only its
-    size and sum reach the driver.
+    is written to the shared folder, and the round before it deleted; only
+    whether one is left to do reaches the driver.
     """
     edges = staged(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        below, above = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
         # written, so that the join with a hub's many links has two plain exchanges, which adaptive execution can split
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(
+            F.least(F.min("v"), F.first("u")).alias("m"), ((below > 1) | ((below > 0) & (above > 0))).alias("open")
+        )
+        least = staged(least, "least")
+        if least.where("open").isEmpty():  # every item is a root or has one link, to a root
+            release(least)
+            break
+        least_of = least.select("u", "m")
+        large = both.where("v > u").join(least_of, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, edges = edges, staged(hooked.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "hooks")
-        del both, large, small, hooked
+        del both, large, small, hooked, least_of
         release(last, least)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     roots = staged(roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()), "roots")
     release(edges)
