@@ -68,10 +68,10 @@ def readable_time(seconds: ColumnOrName) -> Column:
     return F.concat(fixed_point(amount, 2), F.lit(" "), _stepped(list(zip(reached, units)), F.lit("ns")))
 
 
-def safe_ratio(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """``a / b``, or infinity when the divisor is not positive."""
+def safe_ratio(a: ColumnOrName, b: ColumnOrName, missing: float | None = None) -> Column:
+    """``a / b``, or infinity when the divisor is not positive; ``missing`` when it is null."""
     a, b = _col(a), _col(b)
-    return F.when(b > 0, a / b).when(b.isNotNull(), F.lit(float("inf")))
+    return F.when(b > 0, a / b).when(b.isNotNull(), F.lit(float("inf"))).otherwise(F.lit(missing).cast("double"))
 
 
 def digest(column: ColumnOrName, salt: str = "") -> Column:

@@ -106,6 +106,7 @@ def readable_time(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN user_id > 0 THEN value / user_id ELSE 'inf'::DOUBLE END AS ratio FROM events")
 def safe_ratio(spark, sf_dir):
+    """An event without a user has no positive divisor either, as in SQL's ELSE."""
     return named_table(spark, sf_dir, "events").select(
-        "event_id", scalars.safe_ratio("value", "user_id").alias("ratio")
+        "event_id", scalars.safe_ratio("value", "user_id", missing=float("inf")).alias("ratio")
     )
