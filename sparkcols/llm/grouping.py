@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcols.session import free_shuffles, parts_for, release, staged, staged_buckets
@@ -84,6 +84,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return done
 
 
+def shared(postings: DataFrame) -> DataFrame:
+    """The postings of keys with two items or more, each one once; moved once, by key."""
+    of_key = Window.partitionBy("key")
+    ends = postings.withColumn("lo", F.min("id").over(of_key)).withColumn("hi", F.max("id").over(of_key))
+    return ends.where("lo < hi").drop("lo", "hi").dropDuplicates(["key", "id"])
+
+
 def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
     """``id``, ``root`` of all items that have a link; others are not listed.
 
@@ -100,10 +107,7 @@ def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
     those of many, finer keys (``refined``) take the place of the key. No pair is
     verified twice.
     """
-    every = staged(postings, "all_postings")  # read twice, and costly to make
-    shared = staged(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    posts = staged(every.join(shared, "key"), "postings")
-    release(every, shared)
+    posts = staged(shared(postings), "postings")
     free_shuffles(posts.sparkSession)
     parts = parts_for(posts)
     sets = staged_buckets(sets_of(posts.select("id").distinct(), parts), "sets", "id", parts)
@@ -153,10 +157,19 @@ def with_roots(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def keys_apart(posts: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """(key, n, lead): the keys whose items aren't connected yet, the number of their items and one of them."""
-    lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "size", "root")).alias("lead")
+    """(key, n, lead): the keys whose items aren't connected yet, the number of their items and one of them.
+
+    First that's the item with most keys in common with others: what a group was copied from
+    shares all its keys, a copy only those that its changes left, so most copies are linked to it.
+    """
+    items = with_roots(posts, roots)
+    order = [F.xxhash64("id", F.lit(turn)).alias("h")]
+    if not turn:
+        items = items.join(posts.groupBy("id").agg((-F.count("*")).alias("common")), "id")
+        order = [F.col("common"), *order]
+    lead = F.min(F.struct(*order, "id", "size", "root")).alias("lead")
     ends = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), lead]
-    return with_roots(posts, roots).groupBy("key").agg(*ends).where("lo <> hi").select("key", "n", "lead")
+    return items.groupBy("key").agg(*ends).where("lo <> hi").select("key", "n", "lead")
 
 
 def leader_pairs(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +207,7 @@ def refined(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, sets: D
     """
     large = with_roots(posts, roots).join(apart.where(F.col("n") > PAIRWISE).select("key"), "key").select("key", "id", "size")
     # one row for a key and an item of a set; equal ones are counted on the map side first
-    held = large.join(sets.select("id", F.explode("items").alias("item")), "id")
+    held = large.join(sets.select("id", "items"), "id").select("key", "id", "size", F.explode("items").alias("item"))
     often = held.groupBy("key", "item").agg(F.count("*").alias("often")).where("often > 1")
     first = F.sort_array(F.collect_list(F.struct("often", "item")))
     # items of one set only come before all others, but make no pair: they need only be counted

@@ -1,10 +1,11 @@
-"""N-gram Jaccard join with adaptive multi-match prefixes.
-
-Shingles are ordered from rare to frequent. Two sets of the wanted similarity
-share at least l shingles of their l-prefixes, the first n - ceil(t * n) + l
-ones. A longer prefix costs more postings but asks for more matches; each
-document takes the l with the least estimated cost, and a pair has to share
-the smaller l of the two, because a shorter prefix is part of a longer one.
+"""N-gram Jaccard join with adaptive prefixes over blocks of shingles.
+
+The range of hashes is cut into m equal blocks, by a number that depends on the
+set's size class alone. Sets of the wanted similarity differ in k items at most,
+k following from their sizes, so in k blocks at most: they share one of the
+first k + 1 blocks in any order of blocks that is the same for both. Blocks with
+many items come first. Unlike sets rarely share a whole block, whatever shingles
+are frequent, so that the candidates grow with the near copies only.
 """
 
 from __future__ import annotations
@@ -21,14 +22,8 @@ from sparkcols.llm.shipping import map_arrow
 from sparkcols.llm.textarrays import mix, pieces, shingle_sets, text_buffer
 from sparkcols.session import staged
 
-#: frequencies are kept for hashed buckets, 2 ** this many: a table of fixed size, used only to order shingles
-FREQUENCY_BITS = 18
-#: the most matches that a prefix is lengthened for, and the cost of checking one candidate's shingle in postings
-MOST_MATCHES, CHECK_COST = 4, 0.05
-
-
-def bucket(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+#: blocks beyond those that can differ, in percent: the weakest ones, with few items or none, then aren't taken
+SPARE = 10
 
 
 def list_of(values: list[np.ndarray]) -> pa.Array:
@@ -56,63 +51,56 @@ def digests(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, run, "id long, size long, one long, two long")
 
 
-def frequencies(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents' shingles fall in each bucket, counted over all documents."""
+def most_apart(size: int, percent: int) -> int:
+    """In how many items, counted in both, sets of this similarity can differ if the sizes add up to ``size``."""
+    return (100 - percent) * size // (100 + percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        for batch in batches:
-            for tokens in shingle_sets(batch.column(1), width):
-                np.add.at(total, bucket(tokens), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
-
-    counted = map_arrow(docs, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = counted.toPandas()
-    table = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    table[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return table
-
-
-def prefix(tokens: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of least estimated cost and the matches it asks for."""
-    order = np.lexsort((tokens, counts))
-    n = len(tokens)
-    base = n - -(-percent * n // 100)
-    # expected other documents behind a shingle: what its bucket holds beyond the usual filling
-    excess = np.maximum(counts[order] - usual, 0)
-    best, cost = 1, None
-    for need in range(1, min(MOST_MATCHES, n - base) + 1):
-        reached = float(excess[: base + need].sum())
-        guess = reached + CHECK_COST * n * reached / need
-        if cost is None or guess < cost:
-            best, cost = need, guess
-    return tokens[order[: base + best]], best
-
-
-def postings(docs: DataFrame, heads: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(key, id, size, need): one row for each shingle of the prefix of the documents with these ids.
+
+def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of the prefix of a set's blocks, for each size class in which it can meet a similar set.
+
+    A class holds the sizes from a power of two to the next. Two similar sets
+    meet in the class of the larger one. Equal keys are equal blocks, but for
+    collisions of 56 bits, which cost a comparison; their order is that of the
+    prefix, whose length follows from the set's own size.
+    """
+    size = len(tokens)
+    largest = 100 * size // percent
+    taken = most_apart(size + largest, percent) + 1
+    own = size.bit_length()
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum(mix(tokens), out=total[1:])
+    found = []
+    for level in (own, own + 1) if largest >> own else (own,):
+        blocks = -(-(100 + SPARE) * (most_apart(2 * ((1 << level) - 1), percent) + 1) // 100)
+        at = ((tokens >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        held = np.bincount(at, minlength=blocks)
+        ends = np.cumsum(held)
+        place = (np.arange(blocks, dtype=np.uint64) << np.uint64(8)) + np.uint64(level)
+        own_hash = mix(mix(place) ^ (total[ends] - total[ends - held])) >> np.uint64(8)
+        few_last = (255 - np.minimum(held, 255)).astype(np.uint64) << np.uint64(56)
+        found.append(np.sort(few_last | own_hash)[:taken])
+    return np.concatenate(found)
+
+
+def postings(docs: DataFrame, heads: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, id, size, need): one row for each block of the prefix of the documents with these ids.
 
     A document's prefix is one row until the ids are known to be wanted: that
     moves a small part of its shingles instead of its text.
     """
-    filled = table[table > 0]
-    usual = float(np.median(filled)) * 1.5 + 1 if len(filled) else 1.0
-    held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, needs = [], [], []
+            keys, sizes = [], []
             for tokens in shingle_sets(batch.column(1), width):
-                part, need = prefix(tokens, held.value[bucket(tokens)], usual, percent) if len(tokens) else (tokens, 1)
-                keys.append(part)
+                keys.append(block_keys(tokens, percent) if len(tokens) else tokens)
                 sizes.append(len(tokens))
-                needs.append(need)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(needs, pa.int64()), list_of(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "need", "keys"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), list_of(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "keys"])
 
-    rows = map_arrow(docs, run, "id long, size long, need long, keys array<long>").join(heads, "id", "left_semi")
-    return rows.select(F.explode("keys").alias("key"), "id", "size", "need")
+    rows = map_arrow(docs, run, "id long, size long, keys array<long>").join(heads, "id", "left_semi")
+    return rows.select(F.explode("keys").alias("key"), "id", "size", F.lit(1).alias("need"))
 
 
 def sets(docs: DataFrame, ids: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
@@ -128,8 +116,8 @@ def sets(docs: DataFrame, ids: DataFrame, parts: int, width: int, percent: int)
                 columns = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in found], pa.int64()), list_of(samples), list_of(found)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "size", "part", "items"])
 
-    # dealt before the join, so that the join and the buckets made of its result need no further exchange
-    wanted = docs.repartition(parts, "id").join(ids, "id", "left_semi")
+    # few documents have a candidate: only their texts are dealt by id, so that the buckets need no further exchange
+    wanted = docs.join(ids, "id", "left_semi").repartition(parts, "id")
     return map_arrow(wanted, run, "id long, size long, part array<long>, items array<long>")
 
 
@@ -147,9 +135,8 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     real = seen.where("id is not null and size > 0")
     classes = staged(real.groupBy("one", "two", "size").agg(F.min("id").alias("first")), "classes")
     heads = classes.select(F.col("first").alias("id")).distinct()
-    table = frequencies(docs, width)
     roots = linked(
-        postings(docs, heads, table, width, percent),
+        postings(docs, heads, width, percent),
         lambda ids, parts: sets(docs, ids, parts, width, percent),
         percent,
     )
