@@ -91,14 +91,15 @@ def shared(postings: DataFrame) -> DataFrame:
     return ends.where("lo < hi").drop("lo", "hi").dropDuplicates(["key", "id"])
 
 
-def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
+def linked(postings: DataFrame, sets_of, percent: int, verify=verified, items_of=lambda sets: sets) -> DataFrame:
     """``id``, ``root`` of all items that have a link; others are not listed.
 
     ``postings`` (key, id, size, need) lists under which keys an item is found;
     two items are candidates if they share at least the smaller ``need`` of
     theirs. ``sets_of(ids, parts)`` gives (id, size, part, items) of a table of
     ids, dealt by id into so many partitions; ``part`` has the items below
-    ``sample_bound``.
+    ``sample_bound``. It may give another form of the sets, if ``verify`` compares
+    pairs of that form and ``items_of`` makes (id, items) of it.
 
     A group of n near copies has n * n / 2 candidate pairs but needs n - 1
     links. So each key first compares its items with one leader, and pairs that
@@ -115,18 +116,18 @@ def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
     for turn in range(LEADER_ROUNDS):
         apart = staged(keys_apart(posts, roots, turn), "apart")
         if not apart.isEmpty():
-            roots = add_links(leader_pairs(posts, roots, apart, percent), sets, percent, tried, found, roots)
+            roots = add_links(leader_pairs(posts, roots, apart, percent), sets, percent, verify, tried, found, roots)
         release(apart)
     apart = staged(keys_apart(posts, roots, LEADER_ROUNDS), "apart")
     if not apart.where(F.col("n") > PAIRWISE).isEmpty():
-        fine = staged(refined(posts, roots, apart, sets, percent), "refined")
+        fine = staged(refined(posts, roots, apart, sets, percent, items_of), "refined")
         finer = staged(keys_apart(fine, roots, LEADER_ROUNDS), "apart")
-        roots = add_links(leader_pairs(fine, roots, finer, percent), sets, percent, tried, found, roots)
+        roots = add_links(leader_pairs(fine, roots, finer, percent), sets, percent, verify, tried, found, roots)
         release(finer)
     if not apart.isEmpty():
         few = posts.join(apart.where(F.col("n") <= PAIRWISE).select("key"), "key", "left_semi")
         rest = few if fine is None else few.unionByName(fine)
-        roots = add_links(all_pairs(with_roots(rest, roots), percent), sets, percent, tried, found, roots)
+        roots = add_links(all_pairs(with_roots(rest, roots), percent), sets, percent, verify, tried, found, roots)
     if roots is None:
         roots = posts.select("id", F.col("id").alias("root")).where("false")
         roots = staged(roots, "roots")
@@ -134,11 +135,11 @@ def linked(postings: DataFrame, sets_of, percent: int) -> DataFrame:
     return roots
 
 
-def add_links(pairs, sets, percent, tried, found, roots) -> DataFrame | None:
+def add_links(pairs, sets, percent, verify, tried, found, roots) -> DataFrame | None:
     """The roots after these pairs are verified, but for those tried before; both lists grow."""
     pairs = staged(untried(pairs, tried), "pairs")
     tried.append(pairs)
-    links = verified(pairs, sets, percent)
+    links = verify(pairs, sets, percent)
     if links.isEmpty():
         release(links)
         return roots
@@ -197,7 +198,9 @@ def untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
     return pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti") if tried else pairs
 
 
-def refined(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def refined(
+    posts: DataFrame, roots: DataFrame | None, apart: DataFrame, sets: DataFrame, percent: int, items_of=lambda sets: sets
+) -> DataFrame:
     """Finer postings (key, id, size, need) for keys with more than ``PAIRWISE`` items.
 
     Similar sets share one of their first n - ceil(t * n) + 1 items in any
@@ -207,7 +210,8 @@ def refined(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, sets: D
     """
     large = with_roots(posts, roots).join(apart.where(F.col("n") > PAIRWISE).select("key"), "key").select("key", "id", "size")
     # one row for a key and an item of a set; equal ones are counted on the map side first
-    held = large.join(sets.select("id", "items"), "id").select("key", "id", "size", F.explode("items").alias("item"))
+    wanted = items_of(sets.join(large.select("id").distinct(), "id", "left_semi")).select("id", "items")
+    held = large.join(wanted, "id").select("key", "id", "size", F.explode("items").alias("item"))
     often = held.groupBy("key", "item").agg(F.count("*").alias("often")).where("often > 1")
     first = F.sort_array(F.collect_list(F.struct("often", "item")))
     # items of one set only come before all others, but make no pair: they need only be counted

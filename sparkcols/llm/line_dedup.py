@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcols.llm.grouping import linked, sample_bound
+from sparkcols.llm.grouping import linked
 from sparkcols.llm.ngram_join import list_of
 from sparkcols.llm.shipping import map_arrow
-from sparkcols.llm.textarrays import lower_ascii, mix, pieces, powers, text_buffer
+from sparkcols.llm.textarrays import lower_ascii, mix, pieces, powers, ragged, text_buffer
 from sparkcols.session import staged
 
 #: characters (bytes) of a shingle; bands and rows of a band: a similarity of 0.8 is found in 99.7 of 100 cases
@@ -29,8 +29,9 @@ def normal(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 9) & (data <= 13) & (data != 10), 32, data).astype(np.uint8)
 
 
-def line_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of a column: first text, each line's text and number in it, and hashes of shingles with each line's start.
+def line_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, ...]]:
+    """For pieces of a column: first text, each line's text and number in it, its hash, where its shingles start
+    (-1 if blank), bounds and hashes of all shingles, then bytes, starts and ends of the normal forms.
 
     Blank lines have no shingle. Runs of blanks count as one, those at the ends
     of a line not at all. A line shorter than a shingle is one shingle.
@@ -69,7 +70,7 @@ def line_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarra
         wide = np.repeat(width, many)
         hashes = mix((total[where + wide] - total[where]) * down[where] + wide.astype(np.uint64))
         whole = mix((total[stops] - total[starts]) * down[starts] + size.astype(np.uint64))
-        yield a, text, number, whole, np.where(size > 0, bounds[:-1], -1), bounds, hashes
+        yield a, text, number, whole, np.where(size > 0, bounds[:-1], -1), bounds, hashes, flat, starts, stops
 
 
 def distinct_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -112,7 +113,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, text, number, whole, has, bounds, hashes in line_shingles(batch.column(1)):
+            for a, text, number, whole, has, bounds, hashes, *_ in line_shingles(batch.column(1)):
                 real = np.flatnonzero(has >= 0)
                 _, one = np.unique(whole[real], return_index=True)
                 first = np.zeros(len(whole), bool)
@@ -140,33 +141,86 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """(key, id, size, need): a row for each band of each distinct line, which is one row until its copies are merged."""
-    rows = lines.where("bands is not null").select("id", "size", "bands").dropDuplicates(["id"])
+    """(key, id, size, need): a row for each band of each line that has bands; copies of a line repeat its rows."""
+    rows = lines.where("bands is not null")
     return rows.select(F.explode("bands").alias("key"), "id", "size", F.lit(1).alias("need"))
 
 
-def line_sets(docs: DataFrame, lines: DataFrame, ids: DataFrame, parts: int, percent: int) -> DataFrame:
-    """(id, size, part, items): the distinct shingles of the lines with these ids, each read from one document, dealt by id."""
-    wanted = lines.join(ids, "id").groupBy("id").agg(F.min(F.struct("doc", "line")).alias("p"))
+def line_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
+    """(id, line): the normal forms of the lines with these ids, each read from one document, dealt by id.
+
+    A line is a fraction of its shingles' hashes, so it is lines that are stored and moved to pairs.
+    """
+    wanted = lines.select("doc", "line", "id").join(ids, "id").groupBy("id").agg(F.min(F.struct("doc", "line")).alias("p"))
     wanted = wanted.groupBy(F.col("p.doc").alias("doc")).agg(F.collect_list("p.line").alias("at"))
     held = docs.join(wanted, "doc").select("text", "at")
-    bound = np.uint64(sample_bound(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted_lines = [set(x) for x in batch.column(1).to_pylist()]
-            for a, text, number, whole, _, bounds, hashes in line_shingles(batch.column(0)):
-                mine = [i for i, (t, n) in enumerate(zip(text.tolist(), number.tolist())) if n in wanted_lines[a + t]]
-                items = [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in mine]
-                samples = [x[: np.searchsorted(x, bound)] for x in items]
-                columns = [pa.array(whole[mine].view(np.int64)), pa.array([len(x) for x in items], pa.int64()), list_of(samples), list_of(items)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "part", "items"])
-
-    found = map_arrow(held, run, "id long, size long, part array<long>, items array<long>")
+            at = batch.column(1)
+            asked = np.column_stack([np.repeat(np.arange(len(at)), np.diff(at.offsets)), at.flatten().to_numpy()])
+            asked = np.unique(asked[:, 0] << 32 | asked[:, 1])
+            for a, text, number, whole, _, _, _, flat, starts, stops in line_shingles(batch.column(0)):
+                mine = np.flatnonzero(np.isin((a + text) << 32 | number, asked))
+                size = (stops - starts)[mine]
+                ends = np.zeros(len(mine) + 1, np.int32)
+                np.cumsum(size, out=ends[1:])
+                data = pa.py_buffer(flat[ragged(starts[mine], size)].tobytes())
+                held_lines = pa.StringArray.from_buffers(len(mine), pa.py_buffer(ends.tobytes()), data)
+                yield pa.RecordBatch.from_arrays([pa.array(whole[mine].view(np.int64)), held_lines], ["id", "line"])
+
+    found = map_arrow(held, run, "id long, line string")
     # rows with one key give a line more than once; they lie together by now
     return found.repartition(parts, "id").dropDuplicates(["id"])
 
 
+def line_items(texts: DataFrame) -> DataFrame:
+    """(id, items): the distinct shingles of lines in normal form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, text, _, _, _, bounds, hashes, *_ in line_shingles(batch.column(1)):
+                items = [np.unique(hashes[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(items)), list_of(items)], ["id", "items"])
+
+    return map_arrow(texts.select("id", "line"), run, "id long, items array<long>")
+
+
+def distinct_shingles(column: pa.Array) -> np.ndarray:
+    """Number of the row in the leading bits, hash of a shingle in the rest, of each distinct one in rows of one line each."""
+    bits = np.uint64(max(1, len(column).bit_length()))
+    found = [np.zeros(0, np.uint64)]
+    for a, _, _, _, _, bounds, hashes, *_ in line_shingles(column):
+        row = np.repeat(np.arange(a, a + len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        found.append(np.unique((row << (np.uint64(64) - bits)) | (hashes >> bits)))
+    return np.concatenate(found)
+
+
+def alike(x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
+    """Whether the lines of each row have this similarity."""
+    one, two = distinct_shingles(x), distinct_shingles(y)
+    both = np.intersect1d(one, two, assume_unique=True)
+    shift = np.uint64(64 - max(1, len(x).bit_length()))
+    n, m, common = (np.bincount((v >> shift).astype(np.int64), minlength=len(x)) for v in (one, two, both))
+    return 100 * common >= percent * (n + m - common)
+
+
+def alike_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines with this similarity; ``texts`` is bucketed by id, so only pairs and one line of each move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(text_buffer(batch.column(2))[1]) + np.diff(text_buffer(batch.column(3))[1])
+            for i, j in pieces(np.concatenate([[0], np.cumsum(sizes)])):
+                part = batch.slice(i, j - i)
+                yield part.select(["a", "b"]).filter(pa.array(alike(part.column(2), part.column(3), percent)))
+
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return staged(map_arrow(both, run, "a long, b long"), "found")
+
+
 def lost_lines(df: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, lost): for each document the numbers of the lines that repeat an earlier line, counted from 0.
 
@@ -178,7 +232,8 @@ def lost_lines(df: DataFrame, percent: int = 80, text: str = "text", key: str =
     """
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     lines = staged(lines_of(docs), "lines")
-    roots = linked(postings(lines), lambda ids, parts: line_sets(docs, lines, ids, parts, percent), percent)
+    texts = lambda ids, parts: line_texts(docs, lines, ids, parts)
+    roots = linked(postings(lines), texts, percent, alike_pairs, line_items)
     rooted = lines.join(roots, "id", "left").select("doc", "line", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     first = staged(first.where("n > 1").select("root", "first"), "firsts")
