@@ -118,7 +118,7 @@ def linked(postings: DataFrame, sets_of, percent: int, verify=verified, items_of
         if not apart.isEmpty():
             roots = add_links(leader_pairs(posts, roots, apart, percent), sets, percent, verify, tried, found, roots)
         release(apart)
-    apart = staged(keys_apart(posts, roots, LEADER_ROUNDS), "apart")
+    apart = staged(keys_apart(posts, roots, 0), "apart")  # with the leaders of the first round
     if not apart.where(F.col("n") > PAIRWISE).isEmpty():
         fine = staged(refined(posts, roots, apart, sets, percent, items_of), "refined")
         finer = staged(keys_apart(fine, roots, LEADER_ROUNDS), "apart")
@@ -203,24 +203,38 @@ def refined(
 ) -> DataFrame:
     """Finer postings (key, id, size, need) for keys with more than ``PAIRWISE`` items.
 
-    Similar sets share one of their first n - ceil(t * n) + 1 items in any
-    order that is the same for both. Here those come first that fewest sets of
-    the key hold, so that unlike sets rarely share one. It's exact: no link of
-    these keys needs more than one finer key.
+    Keys with one leader are one group. In it an item stands for the set D of
+    what it holds beyond the leader or lacks of it. Similar items differ in k at
+    most, and so do their Ds: the least common element of two Ds, in any order
+    that is the same for both, is one of the first k + 1. Here those come first
+    that fewest Ds of the group hold, so that unlike items rarely share one, nor
+    do copies that were changed in different places. It's exact: the leader has
+    been compared with all, so of two items that aren't connected one is further
+    from it than k, and their Ds have at least one element in common, or the more
+    (``least``) the larger they are; the first |D| - least + 1 are enough then.
     """
-    large = with_roots(posts, roots).join(apart.where(F.col("n") > PAIRWISE).select("key"), "key").select("key", "id", "size")
-    # one row for a key and an item of a set; equal ones are counted on the map side first
-    wanted = items_of(sets.join(large.select("id").distinct(), "id", "left_semi")).select("id", "items")
-    held = large.join(wanted, "id").select("key", "id", "size", F.explode("items").alias("item"))
-    often = held.groupBy("key", "item").agg(F.count("*").alias("often")).where("often > 1")
+    keys = apart.where(F.col("n") > PAIRWISE).select("key", "lead")
+    place = [F.col("lead.id").alias("group"), (F.col("root") == F.col("lead.root")).alias("near")]
+    large = with_roots(posts, roots).join(keys, "key").select(*place, "id", "size").dropDuplicates(["group", "id"])
+    ids = large.select("id").unionByName(large.select(F.col("group").alias("id"))).distinct()
+    items = items_of(sets.join(ids, "id", "left_semi")).select("id", "items")
+    leads = items.select(F.col("id").alias("group"), F.col("items").alias("of_lead"))
+    both = large.join(items, "id").join(leads.join(large.select("group").distinct(), "group", "left_semi"), "group")
+    differ = F.concat(F.array_except("items", "of_lead"), F.array_except("of_lead", "items"))
+    own, lead, many = F.size("items"), F.size("of_lead"), F.size("differ")
+    share = (100 - percent) / (100 + percent)
+    least = F.when(F.col("near"), many + share * (lead - own)).otherwise(F.greatest(F.lit(1), many - share * (lead + own))) / 2
+    least = F.greatest(F.lit(1), F.ceil(least - 1e-6))
+    most = F.floor(share * (own + F.floor(own * 100 / percent + 1e-6)) + 1e-6)
+    width = F.least(most, many - least) + 1
+    held = both.withColumn("differ", differ).select("group", "id", "size", many.alias("n"), width.alias("width"), F.explode("differ").alias("item"))
+    often = held.groupBy("group", "item").agg(F.count("*").alias("often")).where("often > 1")
     first = F.sort_array(F.collect_list(F.struct("often", "item")))
-    # items of one set only come before all others, but make no pair: they need only be counted
-    single = F.col("size") - F.size("ranked")
-    width = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("long") + 1
-    ranked = held.join(often, ["key", "item"]).groupBy("key", "id", "size").agg(first.alias("ranked"))
-    taken = F.slice("ranked", F.lit(1), F.greatest(width - single, F.lit(0)).cast("int"))
-    return ranked.select("key", "id", "size", F.explode(taken).alias("at")).select(
-        F.xxhash64("key", "at.item").alias("key"), "id", "size", F.lit(1).alias("need")
+    # elements of one D only come before all others, but make no pair: they need only be counted
+    ranked = held.join(often, ["group", "item"]).groupBy("group", "id", "size", "n", "width").agg(first.alias("ranked"))
+    taken = F.slice("ranked", F.lit(1), F.greatest(F.col("width") - (F.col("n") - F.size("ranked")), F.lit(0)).cast("int"))
+    return ranked.select("group", "id", "size", F.explode(taken).alias("at")).select(
+        F.xxhash64("group", "at.item").alias("key"), "id", "size", F.lit(1).alias("need")
     )
 
 
