@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcols.session import free_shuffles, parts_for, release, staged, staged_buckets
@@ -13,6 +15,11 @@ from sparkcols.session import free_shuffles, parts_for, release, staged, staged_
 LEADER_ROUNDS = 1
 #: items of a key that are compared pairwise then; keys with more get finer keys
 PAIRWISE = 64
+#: the same where parities tell most pairs apart within the join
+PAIRWISE_PARITY = 2048
+#: 64-bit words of a parity: 3,072 bits tell sets of up to about fifteen hundred items apart; with more words the
+#: method that Spark makes of the join would be too large for the JVM to compile
+WORDS = 48
 
 
 def union_find(links: DataFrame) -> DataFrame:
@@ -84,6 +91,29 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return done
 
 
+def parities(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """``WORDS`` words for each of n sets: in each bit whether an odd number of the set's items falls on it. ``hashes``
+    are the items, of the set in ``rows`` each; only their leading bits count."""
+    bits = 64 * WORDS
+    at = ((hashes >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+    odd = (np.bincount(rows.astype(np.int64) * bits + at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, WORDS)
+
+
+def with_words(rest: DataFrame, parity: DataFrame) -> DataFrame:
+    """The postings with the parity (id, parity) of each item as columns, which a join's condition reads without a loop."""
+    words = (F.coalesce(F.col("parity")[i], F.lit(0)).alias(f"word{i}") for i in range(WORDS))
+    return rest.join(parity.select("id", *words), "id")
+
+
+def parities_near(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can be similar enough by their parities. Exact: each item that only one of them holds
+    turns one bit, so as many items differ as bits do, or more."""
+    words = ((f"{x}.word{i}", f"{y}.word{i}") for i in range(WORDS))
+    turned = reduce(add, (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in words))
+    return (100 + percent) * turned <= (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
+
 def shared(postings: DataFrame) -> DataFrame:
     """The postings of keys with two items or more, each one once; moved once, by key."""
     of_key = Window.partitionBy("key")
@@ -91,7 +121,9 @@ def shared(postings: DataFrame) -> DataFrame:
     return ends.where("lo < hi").drop("lo", "hi").dropDuplicates(["key", "id"])
 
 
-def linked(postings: DataFrame, sets_of, percent: int, verify=verified, items_of=lambda sets: sets) -> DataFrame:
+def linked(
+    postings: DataFrame, sets_of, percent: int, verify=verified, items_of=lambda sets: sets, parity_of=None
+) -> DataFrame:
     """``id``, ``root`` of all items that have a link; others are not listed.
 
     ``postings`` (key, id, size, need) lists under which keys an item is found;
@@ -99,7 +131,8 @@ def linked(postings: DataFrame, sets_of, percent: int, verify=verified, items_of
     theirs. ``sets_of(ids, parts)`` gives (id, size, part, items) of a table of
     ids, dealt by id into so many partitions; ``part`` has the items below
     ``sample_bound``. It may give another form of the sets, if ``verify`` compares
-    pairs of that form and ``items_of`` makes (id, items) of it.
+    pairs of that form and ``items_of`` makes (id, items) of it. If ``parity_of``
+    makes (id, parity) of it, pairs are ruled out by these where they are made.
 
     A group of n near copies has n * n / 2 candidate pairs but needs n - 1
     links. So each key first compares its items with one leader, and pairs that
@@ -112,26 +145,29 @@ def linked(postings: DataFrame, sets_of, percent: int, verify=verified, items_of
     free_shuffles(posts.sparkSession)
     parts = parts_for(posts)
     sets = staged_buckets(sets_of(posts.select("id").distinct(), parts), "sets", "id", parts)
-    found, tried, roots, fine = [], [], None, None
+    most = PAIRWISE_PARITY if parity_of else PAIRWISE
+    found, tried, roots, fine, parity = [], [], None, None, None
     for turn in range(LEADER_ROUNDS):
         apart = staged(keys_apart(posts, roots, turn), "apart")
         if not apart.isEmpty():
             roots = add_links(leader_pairs(posts, roots, apart, percent), sets, percent, verify, tried, found, roots)
         release(apart)
     apart = staged(keys_apart(posts, roots, 0), "apart")  # with the leaders of the first round
-    if not apart.where(F.col("n") > PAIRWISE).isEmpty():
-        fine = staged(refined(posts, roots, apart, sets, percent, items_of), "refined")
+    if not apart.where(F.col("n") > most).isEmpty():
+        fine = staged(refined(posts, roots, apart, sets, percent, items_of, most), "refined")
         finer = staged(keys_apart(fine, roots, LEADER_ROUNDS), "apart")
         roots = add_links(leader_pairs(fine, roots, finer, percent), sets, percent, verify, tried, found, roots)
         release(finer)
     if not apart.isEmpty():
-        few = posts.join(apart.where(F.col("n") <= PAIRWISE).select("key"), "key", "left_semi")
+        few = posts.join(apart.where(F.col("n") <= most).select("key"), "key", "left_semi")
         rest = few if fine is None else few.unionByName(fine)
-        roots = add_links(all_pairs(with_roots(rest, roots), percent), sets, percent, verify, tried, found, roots)
+        if parity_of:
+            parity = staged(parity_of(sets.join(rest.select("id").distinct(), "id", "left_semi")), "parity")
+        roots = add_links(all_pairs(with_roots(rest, roots), percent, parity), sets, percent, verify, tried, found, roots)
     if roots is None:
         roots = posts.select("id", F.col("id").alias("root")).where("false")
         roots = staged(roots, "roots")
-    release(apart, posts, sets, fine, *found, *tried)
+    release(apart, posts, sets, fine, parity, *found, *tried)
     return roots
 
 
@@ -180,12 +216,18 @@ def leader_pairs(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, pe
     return found.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
 
 
-def all_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the items of each key that aren't connected yet, pairwise, if they share as many keys as they need."""
+def all_pairs(rest: DataFrame, percent: int, parity: DataFrame | None = None) -> DataFrame:
+    """(a, b): the items of each key that aren't connected yet, pairwise, if they share as many keys as they need
+    and their parities, if given, don't rule them out."""
+    if parity is not None:
+        rest = with_words(rest, parity)
     x, y = rest.alias("x"), rest.alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+    near = close(F.col("x.size"), F.col("y.size"), percent)
+    if parity is not None:
+        near &= parities_near("x", "y", percent)
     return (
-        x.join(y, same & close(F.col("x.size"), F.col("y.size"), percent))
+        x.join(y, same & near)
         .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .agg(F.count("*").alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
         .where("n >= need")
@@ -199,9 +241,15 @@ def untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
 
 
 def refined(
-    posts: DataFrame, roots: DataFrame | None, apart: DataFrame, sets: DataFrame, percent: int, items_of=lambda sets: sets
+    posts: DataFrame,
+    roots: DataFrame | None,
+    apart: DataFrame,
+    sets: DataFrame,
+    percent: int,
+    items_of=lambda sets: sets,
+    most: int = PAIRWISE,
 ) -> DataFrame:
-    """Finer postings (key, id, size, need) for keys with more than ``PAIRWISE`` items.
+    """Finer postings (key, id, size, need) for keys with more than ``most`` items.
 
     Keys with one leader are one group. In it an item stands for the set D of
     what it holds beyond the leader or lacks of it. Similar items differ in k at
@@ -213,7 +261,7 @@ def refined(
     from it than k, and their Ds have at least one element in common, or the more
     (``least``) the larger they are; the first |D| - least + 1 are enough then.
     """
-    keys = apart.where(F.col("n") > PAIRWISE).select("key", "lead")
+    keys = apart.where(F.col("n") > most).select("key", "lead")
     place = [F.col("lead.id").alias("group"), (F.col("root") == F.col("lead.root")).alias("near")]
     large = with_roots(posts, roots).join(keys, "key").select(*place, "id", "size").dropDuplicates(["group", "id"])
     ids = large.select("id").unionByName(large.select(F.col("group").alias("id"))).distinct()
@@ -225,8 +273,8 @@ def refined(
     share = (100 - percent) / (100 + percent)
     least = F.when(F.col("near"), many + share * (lead - own)).otherwise(F.greatest(F.lit(1), many - share * (lead + own))) / 2
     least = F.greatest(F.lit(1), F.ceil(least - 1e-6))
-    most = F.floor(share * (own + F.floor(own * 100 / percent + 1e-6)) + 1e-6)
-    width = F.least(most, many - least) + 1
+    apart_at_most = F.floor(share * (own + F.floor(own * 100 / percent + 1e-6)) + 1e-6)
+    width = F.least(apart_at_most, many - least) + 1
     held = both.withColumn("differ", differ).select("group", "id", "size", many.alias("n"), width.alias("width"), F.explode("differ").alias("item"))
     often = held.groupBy("group", "item").agg(F.count("*").alias("often")).where("often > 1")
     first = F.sort_array(F.collect_list(F.struct("often", "item")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcols.llm.grouping import linked
+from sparkcols.llm.grouping import WORDS, linked, parities
 from sparkcols.llm.ngram_join import list_of
 from sparkcols.llm.shipping import map_arrow
 from sparkcols.llm.textarrays import lower_ascii, mix, pieces, powers, ragged, text_buffer
@@ -73,15 +73,21 @@ def line_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, ...]]:
         yield a, text, number, whole, np.where(size > 0, bounds[:-1], -1), bounds, hashes, flat, starts, stops
 
 
-def distinct_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The number of distinct shingles of each line: its number in the leading bits, the hash's leading ones in the rest."""
-    lines = len(bounds) - 1
-    bits = np.uint64(max(1, lines.bit_length()))
-    line = np.repeat(np.arange(lines, dtype=np.uint64), np.diff(bounds))
+def once(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and leading bits of each distinct shingle of lines with so many shingles: a number with the line's in its
+    leading bits, the hash's leading ones in the rest, is sorted."""
+    bits = np.uint64(max(1, len(counts).bit_length()))
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
     own = np.sort((line << (np.uint64(64) - bits)) | (hashes >> bits))
     first = np.ones(len(own), bool)
     first[1:] = own[1:] != own[:-1]
-    return np.bincount((own[first] >> (np.uint64(64) - bits)).astype(np.int64), minlength=lines)
+    own = own[first]
+    return (own >> (np.uint64(64) - bits)).astype(np.int64), own << bits
+
+
+def distinct_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The number of distinct shingles of each line."""
+    return np.bincount(once(hashes, np.diff(bounds))[0], minlength=len(bounds) - 1)
 
 
 def band_keys(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -186,6 +192,20 @@ def line_items(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("id", "line"), run, "id long, items array<long>")
 
 
+def line_parities(texts: DataFrame) -> DataFrame:
+    """(id, parity): the parities of the distinct shingles of lines in normal form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, _, _, _, bounds, hashes, *_ in line_shingles(batch.column(1)):
+                n = len(bounds) - 1
+                words = parities(*once(hashes, np.diff(bounds)), n).ravel()
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WORDS), pa.array(words))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), parity], ["id", "parity"])
+
+    return map_arrow(texts.select("id", "line"), run, "id long, parity array<long>")
+
+
 def distinct_shingles(column: pa.Array) -> np.ndarray:
     """Number of the row in the leading bits, hash of a shingle in the rest, of each distinct one in rows of one line each."""
     bits = np.uint64(max(1, len(column).bit_length()))
@@ -233,7 +253,7 @@ def lost_lines(df: DataFrame, percent: int = 80, text: str = "text", key: str =
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     lines = staged(lines_of(docs), "lines")
     texts = lambda ids, parts: line_texts(docs, lines, ids, parts)
-    roots = linked(postings(lines), texts, percent, alike_pairs, line_items)
+    roots = linked(postings(lines), texts, percent, alike_pairs, line_items, line_parities)
     rooted = lines.join(roots, "id", "left").select("doc", "line", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
     first = staged(first.where("n > 1").select("root", "first"), "firsts")
