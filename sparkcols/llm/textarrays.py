@@ -15,7 +15,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: bytes of text that are turned into arrays at a time
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
