@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcols.llm.grouping import linked, sample_bound
+from sparkcols.llm.grouping import WORDS, linked, parities, sample_bound
 from sparkcols.llm.shipping import map_arrow
 from sparkcols.llm.textarrays import mix, pieces, shingle_sets, text_buffer
 from sparkcols.session import staged
@@ -121,6 +121,20 @@ def sets(docs: DataFrame, ids: DataFrame, parts: int, width: int, percent: int)
     return map_arrow(wanted, run, "id long, size long, part array<long>, items array<long>")
 
 
+def set_parities(sets: DataFrame) -> DataFrame:
+    """(id, parity): the parities of stored sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, n = batch.column(1), len(batch)
+            rows = np.repeat(np.arange(n), items.value_lengths().to_numpy(zero_copy_only=False))
+            words = parities(rows, items.flatten().to_numpy().view(np.uint64), n).ravel()
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WORDS), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), parity], ["id", "parity"])
+
+    return map_arrow(sets.select("id", "items"), run, "id long, parity array<long>")
+
+
 def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: the key, ``n_shingles`` and ``component_id``, the smallest key that links lead to.
 
@@ -139,6 +153,7 @@ def components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "te
         postings(docs, heads, width, percent),
         lambda ids, parts: sets(docs, ids, parts, width, percent),
         percent,
+        parity_of=set_parities,
     )
     named = classes.join(roots.withColumnRenamed("id", "first"), "first", "left").select(
         "one", "two", "size", F.coalesce("root", "first").alias("root")

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkcols.llm import grouping, line_dedup
+from sparkcols.llm import grouping, line_dedup, ngram_join
 
 
 def near_copies(n):
@@ -69,3 +69,15 @@ def test_lines_of_a_large_group_keep_their_links(spark):
             assert {r.doc for r in line_dedup.lost_lines(docs).collect()} == linked
     finally:
         grouping.PAIRWISE_PARITY = held
+
+
+def test_pairs_of_many_unlike_documents_are_told_apart(spark):
+    """300 documents that share 80 of 100 words: under one key no pair of them leaves the join but near copies do."""
+    common = [f"common{i}" for i in range(80)]
+    texts = [" ".join([*common, *(f"own{i}x{j}" for j in range(20))]) for i in range(300)]
+    texts.append(texts[0] + " more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    held = ngram_join.sets(docs, docs.select("id"), 4, 3, 90)
+    rest = held.select(F.lit(1).alias("key"), "id", "size", F.lit(1).alias("need"), F.col("id").alias("root"))
+    pairs = grouping.all_pairs(rest, 90, ngram_join.set_parities(held)).collect()
+    assert [tuple(r) for r in pairs] == [(0, 300)] and grouping.all_pairs(rest, 90).count() == 301 * 300 // 2
