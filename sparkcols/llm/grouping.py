@@ -17,6 +17,8 @@ LEADER_ROUNDS = 1
 PAIRWISE = 64
 #: the same where parities tell most pairs apart within the join
 PAIRWISE_PARITY = 2048
+#: leaders, about, of each key with more than PAIRWISE items, before its items are compared pairwise
+LEADERS = 16
 #: 64-bit words of a parity: 3,072 bits tell sets of up to about fifteen hundred items apart; with more words the
 #: method that Spark makes of the join would be too large for the JVM to compile
 WORDS = 48
@@ -138,8 +140,10 @@ def linked(
     links. So each key first compares its items with one leader, and pairs that
     are connected by then are left out: they can't change the result. What is
     still apart after some rounds is compared pairwise in keys of few items; in
-    those of many, finer keys (``refined``) take the place of the key. No pair is
-    verified twice.
+    those of many, finer keys (``refined``) take the place of the key. An item that
+    no leader is like may be like many of the leader's copies, so keys of more than
+    ``PAIRWISE`` items first compare all with about ``LEADERS`` items: one such link
+    is enough, and leaves out all its pairs with the rest. No pair is verified twice.
     """
     posts = staged(shared(postings), "postings")
     free_shuffles(posts.sparkSession)
@@ -163,6 +167,11 @@ def linked(
         rest = few if fine is None else few.unionByName(fine)
         if parity_of:
             parity = staged(parity_of(sets.join(rest.select("id").distinct(), "id", "left_semi")), "parity")
+        crowd = staged(crowded(rest, roots), "crowded")
+        if not crowd.isEmpty():
+            first = all_pairs(with_roots(rest, roots), percent, parity, crowd)
+            roots = add_links(first, sets, percent, verify, tried, found, roots)
+        release(crowd)
         roots = add_links(all_pairs(with_roots(rest, roots), percent, parity), sets, percent, verify, tried, found, roots)
     if roots is None:
         roots = posts.select("id", F.col("id").alias("root")).where("false")
@@ -216,19 +225,32 @@ def leader_pairs(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, pe
     return found.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
 
 
-def all_pairs(rest: DataFrame, percent: int, parity: DataFrame | None = None) -> DataFrame:
+def crowded(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, n): the keys of more than ``PAIRWISE`` items that aren't connected yet, and the number of their items."""
+    ends = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")]
+    return with_roots(posts, roots).groupBy("key").agg(*ends).where((F.col("lo") < F.col("hi")) & (F.col("n") > PAIRWISE)).select("key", "n")
+
+
+def all_pairs(rest: DataFrame, percent: int, parity: DataFrame | None = None, crowd: DataFrame | None = None) -> DataFrame:
     """(a, b): the items of each key that aren't connected yet, pairwise, if they share as many keys as they need
-    and their parities, if given, don't rule them out."""
+    and their parities, if given, don't rule them out. With ``crowd`` (key, n) only the items of its keys, each with
+    about ``LEADERS`` of its key: as many rows a key as it has items, times that at most."""
     if parity is not None:
         rest = with_words(rest, parity)
     x, y = rest.alias("x"), rest.alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+    other = F.col("x.id") < F.col("y.id")
+    if crowd is not None:
+        # by hashes of both, so that an item is a leader in some of its keys only
+        y = rest.join(crowd, "key").where(F.pmod(F.xxhash64("id", "key"), F.col("n")) < LEADERS).drop("n").alias("y")
+        other = F.col("x.id") != F.col("y.id")
+    same = (F.col("x.key") == F.col("y.key")) & other & (F.col("x.root") != F.col("y.root"))
     near = close(F.col("x.size"), F.col("y.size"), percent)
     if parity is not None:
         near &= parities_near("x", "y", percent)
+    a, b = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
     return (
         x.join(y, same & near)
-        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .groupBy(a, b)
         .agg(F.count("*").alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
         .where("n >= need")
         .select("a", "b")
