@@ -17,8 +17,8 @@ LEADER_ROUNDS = 1
 PAIRWISE = 64
 #: the same where parities tell most pairs apart within the join
 PAIRWISE_PARITY = 2048
-#: leaders, about, of each key with more than PAIRWISE items, before its items are compared pairwise
-LEADERS = 16
+#: keys with more items first compare all with about so many leaders, before what is still apart is compared pairwise
+CROWD, LEADERS = 256, 16
 #: 64-bit words of a parity: 3,072 bits tell sets of up to about fifteen hundred items apart; with more words the
 #: method that Spark makes of the join would be too large for the JVM to compile
 WORDS = 48
@@ -142,7 +142,7 @@ def linked(
     still apart after some rounds is compared pairwise in keys of few items; in
     those of many, finer keys (``refined``) take the place of the key. An item that
     no leader is like may be like many of the leader's copies, so keys of more than
-    ``PAIRWISE`` items first compare all with about ``LEADERS`` items: one such link
+    ``CROWD`` items first compare all with about ``LEADERS`` items: one such link
     is enough, and leaves out all its pairs with the rest. No pair is verified twice.
     """
     posts = staged(shared(postings), "postings")
@@ -167,11 +167,12 @@ def linked(
         rest = few if fine is None else few.unionByName(fine)
         if parity_of:
             parity = staged(parity_of(sets.join(rest.select("id").distinct(), "id", "left_semi")), "parity")
-        crowd = staged(crowded(rest, roots), "crowded")
-        if not crowd.isEmpty():
-            first = all_pairs(with_roots(rest, roots), percent, parity, crowd)
-            roots = add_links(first, sets, percent, verify, tried, found, roots)
-        release(crowd)
+        if fine is not None or not apart.where(F.col("n") > CROWD).isEmpty():
+            crowd = staged(crowded(rest, roots), "crowded")
+            if not crowd.isEmpty():
+                first = all_pairs(with_roots(rest, roots), percent, parity, crowd)
+                roots = add_links(first, sets, percent, verify, tried, found, roots)
+            release(crowd)
         roots = add_links(all_pairs(with_roots(rest, roots), percent, parity), sets, percent, verify, tried, found, roots)
     if roots is None:
         roots = posts.select("id", F.col("id").alias("root")).where("false")
@@ -226,9 +227,10 @@ def leader_pairs(posts: DataFrame, roots: DataFrame | None, apart: DataFrame, pe
 
 
 def crowded(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, n): the keys of more than ``PAIRWISE`` items that aren't connected yet, and the number of their items."""
+    """(key, n): the keys of more than ``CROWD`` items that aren't connected yet, and the number of their items."""
     ends = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")]
-    return with_roots(posts, roots).groupBy("key").agg(*ends).where((F.col("lo") < F.col("hi")) & (F.col("n") > PAIRWISE)).select("key", "n")
+    keys = with_roots(posts, roots).groupBy("key").agg(*ends)
+    return keys.where((F.col("lo") < F.col("hi")) & (F.col("n") > CROWD)).select("key", "n")
 
 
 def all_pairs(rest: DataFrame, percent: int, parity: DataFrame | None = None, crowd: DataFrame | None = None) -> DataFrame:

@@ -47,8 +47,8 @@ def test_items_like_many_copies_of_a_leader_make_few_pairs(spark, monkeypatch):
 
 
 def test_crowded_keys(spark):
-    rows = [(key, i, i if key % 2 else 0) for key, n in ((1, 64), (2, 65), (3, 65)) for i in range(n)]
-    posts = spark.createDataFrame([(k, i, 9, 1) for k, i, _ in rows], "key long, id long, size long, need int")
-    assert [tuple(r) for r in grouping.crowded(posts, None).orderBy("key").collect()] == [(2, 65), (3, 65)]
-    roots = spark.createDataFrame([(i, 0) for i in range(65)], "id long, root long")
+    rows = [(key, i) for key, n in ((1, 256), (2, 257), (3, 257)) for i in range(n)]
+    posts = spark.createDataFrame([(k, i, 9, 1) for k, i in rows], "key long, id long, size long, need int")
+    assert [tuple(r) for r in grouping.crowded(posts, None).orderBy("key").collect()] == [(2, 257), (3, 257)]
+    roots = spark.createDataFrame([(i, 0) for i in range(257)], "id long, root long")
     assert grouping.crowded(posts, roots).isEmpty()
