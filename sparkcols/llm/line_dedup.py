@@ -19,6 +19,8 @@ from sparkcols.session import staged
 SHINGLE, BANDS, ROWS = 8, 8, 3
 #: bytes of text that are turned into arrays at a time: these then stay in a core's cache
 PIECE = 1 << 17
+#: places that shingles mark when two lines are compared, a power of two, and rows that are marked at a time
+MARKS, ROWS_MARKED = 2048, 64
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -66,10 +68,18 @@ def line_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, ...]]:
         total = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
         bounds = np.concatenate([[0], np.cumsum(many)])
-        where = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - starts, many)
-        wide = np.repeat(width, many)
-        hashes = mix((total[where + wide] - total[where]) * down[where] + wide.astype(np.uint64))
         whole = mix((total[stops] - total[starts]) * down[starts] + size.astype(np.uint64))
+        # hashed at every place, in order, then those that reach over a line end are left out
+        over = flat == 10
+        for step in (1, 2, 4):
+            over[:-step] |= over[step:]
+        hashes = np.empty(len(flat), np.uint64)
+        last = max(0, len(flat) - SHINGLE + 1)
+        hashes[:last] = mix((total[SHINGLE:] - total[:last]) * down[:last] + np.uint64(SHINGLE))
+        short = (size > 0) & (size < SHINGLE)
+        hashes[starts[short]] = whole[short]
+        over[starts[short]] = False
+        hashes = hashes[~over]
         yield a, text, number, whole, np.where(size > 0, bounds[:-1], -1), bounds, hashes, flat, starts, stops
 
 
@@ -87,7 +97,13 @@ def once(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def distinct_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The number of distinct shingles of each line."""
-    return np.bincount(once(hashes, np.diff(bounds))[0], minlength=len(bounds) - 1)
+    bits = np.uint64(max(1, (len(bounds) - 1).bit_length()))
+    own = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64) << (np.uint64(64) - bits), np.diff(bounds))
+    own |= hashes >> bits
+    own.sort()  # a line's shingles stay between its bounds
+    first = np.ones(len(own), bool)
+    first[1:] = own[1:] != own[:-1]
+    return np.diff(np.concatenate([[0], np.cumsum(first)])[bounds])
 
 
 def band_keys(hashes: np.ndarray, bounds: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -206,23 +222,45 @@ def line_parities(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("id", "line"), run, "id long, parity array<long>")
 
 
-def distinct_shingles(column: pa.Array) -> np.ndarray:
-    """Number of the row in the leading bits, hash of a shingle in the rest, of each distinct one in rows of one line each."""
-    bits = np.uint64(max(1, len(column).bit_length()))
-    found = [np.zeros(0, np.uint64)]
+def shingles_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of rows of one line each, and how many a row has."""
+    found, many = [np.zeros(0, np.uint64)], np.zeros(len(column), np.int64)
     for a, _, _, _, _, bounds, hashes, *_ in line_shingles(column):
-        row = np.repeat(np.arange(a, a + len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
-        found.append(np.unique((row << (np.uint64(64) - bits)) | (hashes >> bits)))
-    return np.concatenate(found)
+        many[a : a + len(bounds) - 1] = np.diff(bounds)
+        found.append(hashes)
+    return np.concatenate(found), many
+
+
+def marks(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each row which of ``MARKS`` places some of its shingles fall on."""
+    marked = np.zeros((len(many), MARKS), bool)
+    marked.ravel()[np.repeat(np.arange(len(many)) * MARKS, many) + (hashes >> np.uint64(64 - MARKS.bit_length() + 1)).astype(np.int64)] = True
+    return marked
 
 
 def alike(x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
-    """Whether the lines of each row have this similarity."""
-    one, two = distinct_shingles(x), distinct_shingles(y)
-    both = np.intersect1d(one, two, assume_unique=True)
+    """Whether the lines of each row have this similarity.
+
+    A place that one line marks and the other doesn't stands for a shingle or
+    more that only one of them has, so most unlike lines are told without a sort.
+    """
+    (one, n), (two, m) = shingles_of(x), shingles_of(y)
+    apart = np.empty(len(x), np.int64)
+    # marks of few rows at a time: these stay in a core's cache
+    ends_x, ends_y = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(m)])
+    for a in range(0, len(x), ROWS_MARKED):
+        b = min(a + ROWS_MARKED, len(x))
+        left, right = marks(one[ends_x[a] : ends_x[b]], n[a:b]), marks(two[ends_y[a] : ends_y[b]], m[a:b])
+        apart[a:b] = np.count_nonzero(left != right, axis=1)
+    near = (100 + percent) * apart <= (100 - percent) * (n + m)
+    one, two = one[np.repeat(near, n)], two[np.repeat(near, m)]
+    (row_x, one), (row_y, two) = once(one, np.where(near, n, 0)), once(two, np.where(near, m, 0))
+    # a number with the row's in its leading bits again, as both sides have as many rows
     shift = np.uint64(64 - max(1, len(x).bit_length()))
+    one, two = (row_x.astype(np.uint64) << shift) | (one >> np.uint64(64) - shift), (row_y.astype(np.uint64) << shift) | (two >> np.uint64(64) - shift)
+    both = np.intersect1d(one, two, assume_unique=True)
     n, m, common = (np.bincount((v >> shift).astype(np.int64), minlength=len(x)) for v in (one, two, both))
-    return 100 * common >= percent * (n + m - common)
+    return near & (100 * common >= percent * (n + m - common))
 
 
 def alike_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
